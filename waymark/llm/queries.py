@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, common
+from waymark.llm import bpe, common, fertility, media
+
+
+def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fertility.verdicts(common.documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason", "n_tokens", "n_byte_tokens", "m_chars", "m_entropy")
+
+
+def op3_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.contents(media.packed(common.documents(spark, sf_dir)))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +23,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {"op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
