@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,10 @@ def slim(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
 def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow, where make() is called once in each task and gives the function from batch to batches."""
 
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # texts can be long
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
@@ -64,7 +69,7 @@ def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about most_bytes of text, so that long texts don't add up in memory."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most_bytes:
