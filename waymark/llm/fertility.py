@@ -26,8 +26,8 @@ from pyspark.sql.types import StructField, StructType
 from waymark.llm import common
 
 #: Bins of a measure in its histogram: name, bins a unit, least distance of quartiles in bins.
-MEASURES = (("m_chars", 32, 4), ("m_bytes", 400, 8), ("m_entropy", 400, 12))
-FENCE, SHORT, MEMO = 4.0, 6.0, 400_000
+MEASURES = (("m_chars", 400, 12), ("m_bytes", 400, 8), ("m_entropy", 400, 12))
+FENCE, SHORT, MEMO = 2.5, 10.0, 400_000
 #: Ranges of code points by script, for texts without a language.
 SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, m_chars double, m_bytes double, m_entropy double, script string"
