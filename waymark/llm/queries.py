@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, common, fertility, media
+from waymark.llm import bpe, common, fertility, media, pii, secrets
+
+
+def op1_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.documents(spark, sf_dir))
 
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +26,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(common.documents(spark, sf_dir), with_ids=False)
 
 
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_pii_boosted": op1_pii_boosted, "op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op8_byte_bpe": op8_byte_bpe, "op9_secret_ownership": op9_secret_ownership}
 
 
 def oracle_sql() -> dict[str, str]:
