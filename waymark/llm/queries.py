@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, common, fertility, jaccard, media, mixing, pii, secrets
+from waymark.llm import bpe, common, fertility, jaccard, media, mixing, pii, repeats, secrets
 
 
 def op1_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(common.documents(spark, sf_dir))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(common.documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(common.documents(spark, sf_dir), with_ids=False)
 
@@ -39,7 +43,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii_boosted": op1_pii_boosted, "op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op4_token_groups": op4_token_groups, "op5_entropy_mix": op5_entropy_mix, "op8_byte_bpe": op8_byte_bpe, "op9_secret_ownership": op9_secret_ownership}
+    return {"op1_pii_boosted": op1_pii_boosted, "op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op4_token_groups": op4_token_groups, "op5_entropy_mix": op5_entropy_mix, "op7_suffix_repeats": op7_suffix_repeats, "op8_byte_bpe": op8_byte_bpe, "op9_secret_ownership": op9_secret_ownership}
 
 
 def oracle_sql() -> dict[str, str]:
