@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, common, fertility, jaccard, media, mixing, pii, repeats, secrets
+from waymark.llm import bpe, common, fertility, jaccard, maxent, media, mixing, pii, repeats, secrets, toxicity
 
 
 def op1_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.documents(spark, sf_dir))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.report(common.documents(spark, sf_dir))
+
+
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fertility.verdicts(common.documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason", "n_tokens", "n_byte_tokens", "m_chars", "m_entropy")
@@ -30,6 +34,10 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(common.documents(spark, sf_dir))
 
 
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(common.documents(spark, sf_dir))
 
@@ -43,7 +51,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii_boosted": op1_pii_boosted, "op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op4_token_groups": op4_token_groups, "op5_entropy_mix": op5_entropy_mix, "op7_suffix_repeats": op7_suffix_repeats, "op8_byte_bpe": op8_byte_bpe, "op9_secret_ownership": op9_secret_ownership}
+    return {"op1_pii_boosted": op1_pii_boosted, "op2_fertility": op2_fertility, "op3_media_tar": op3_media_tar, "op4_token_groups": op4_token_groups, "op5_entropy_mix": op5_entropy_mix, "op6_toxicity_gru": op6_toxicity_gru, "op7_suffix_repeats": op7_suffix_repeats, "op8_byte_bpe": op8_byte_bpe, "op9_secret_ownership": op9_secret_ownership, "op10_maxent_lm": op10_maxent_lm}
 
 
 def oracle_sql() -> dict[str, str]:
