@@ -37,10 +37,9 @@ def normal(words: list[bytes]) -> list[bytes]:
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of each word's trigrams (of its first BYTES bytes, with ends) and their weights, which sum to 1."""
+    sizes = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), BYTES)
     flat = np.zeros((len(words), BYTES + 2), np.int64)
-    sizes = np.fromiter((min(len(w), BYTES) for w in words), np.int64, len(words))
-    for row, w in zip(flat, words, strict=True):
-        row[1 : 1 + min(len(w), BYTES)] = np.frombuffer(w[:BYTES], np.uint8)
+    flat[:, 1:-1] = np.frombuffer(b"".join([w[:BYTES].ljust(BYTES, b"\0") for w in words]), np.uint8).reshape(-1, BYTES)
     flat[:, 0] = 256
     flat[np.arange(len(words)), sizes + 1] = 257
     code = ((flat[:, :-2] * 263 + flat[:, 1:-1]) * 269 + flat[:, 2:]) * 0x9E3779B1 >> 13
