@@ -45,7 +45,7 @@ def double_entry(rows: DataFrame, *keep: str) -> DataFrame:
 def airport_table(rows: DataFrame, floor: int, cell_min: int) -> DataFrame:
     """airport, n, d_total: the median deviation of places with at least floor movements (both roles), and its rank."""
     placed = double_entry(deviations(rows, {"d": "total"}, cell_min), "d")
-    out = placed.groupBy("airport").agg(F.count(F.lit(1)).alias("n"), F.round(median(F.col("d")), 4).alias("d_total")).where(F.col("n") >= floor)
+    out = placed.groupBy("airport").agg(F.count(F.lit(1)).alias("n"), F.round(median(F.col("d")), 5).alias("d_total")).where(F.col("n") >= floor)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("d_total"), "airport")))
 
 

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo
 
-_BY_TIME = Window.partitionBy("aircraft").orderBy("t", "event_id")
+def _by_time():
+    return Window.partitionBy("aircraft").orderBy("t", "event_id")
 
 
 def legs(points: DataFrame, gap_s: float = 1800.0) -> DataFrame:
     """points with leg: a new one at the flag or after a gap longer than gap_s; never at an aircraft's first point."""
-    before = F.lag("t").over(_BY_TIME)
+    before = F.lag("t").over(_by_time())
     starts = before.isNotNull() & (F.col("new_leg") | (F.col("t") - before > gap_s))
     flagged = points.withColumn("__new", starts.cast("int"))
-    return flagged.withColumn("leg", F.sum("__new").over(_BY_TIME.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+    return flagged.withColumn("leg", F.sum("__new").over(_by_time().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 
 
 def _folded(points: DataFrame, keys: list[str], keep) -> DataFrame:
