@@ -197,7 +197,7 @@ def trained(rows: list[tuple[object, int, list[bytes]]], seed: int = 7) -> Netwo
             np.maximum.at(top, doc_of, z)
             chosen &= (y == 0) | (z >= top[doc_of] - 1e-6) | (z > 0)
         pos, neg = np.flatnonzero(chosen & (y > 0)), np.flatnonzero(chosen & (y == 0))
-        n = max(len(pos), min(len(neg), 12_000))
+        n = max(len(pos), min(len(neg), 12_000), 4_000)  # small samples are gone over again
         order = np.concatenate([rng.permutation(np.resize(rng.permutation(pos), n)), rng.permutation(np.resize(rng.permutation(neg), n))])
         rng.shuffle(order)
         for i in range(0, len(order), BATCH):
