@@ -73,13 +73,13 @@ _REF_SQL = "ref(typecode, published) AS (VALUES " + ", ".join(f"('{k}', {v}::DOU
 
 
 @query(f"""WITH {MOV}, {_REF_SQL}, obs AS (SELECT typecode, count(*) AS n, median(round(real / gc_km, 4)) AS observed FROM mov WHERE gc_km >= 150 GROUP BY typecode)
-SELECT typecode, n, round(observed, 4) AS observed, round(published / observed, 6) AS ratio, CASE WHEN abs(published / observed - 1) > 0.10::DOUBLE AND n >= 100 THEN round(published / observed, 6) ELSE 1.0 END AS factor FROM obs LEFT JOIN ref USING (typecode)""")
+SELECT typecode, n, round(observed, 5) AS observed, round(published / observed, 6) AS ratio, CASE WHEN abs(published / observed - 1) > 0.10::DOUBLE AND n >= 100 THEN round(published / observed, 6) ELSE 1.0 END AS factor FROM obs LEFT JOIN ref USING (typecode)""")
 def q_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A factor for each type: published over observed median, where they differ by over a tenth and 100 movements tell; else 1."""
     obs = movements(spark, sf_dir).where("gc_km >= 150").groupBy("typecode").agg(F.count(F.lit(1)).alias("n"), norm.median(F.col("real") / F.col("gc_km")).alias("observed"))
     ref = spark.createDataFrame(list(_REF.items()), "typecode string, published double")
     ratio = F.col("published") / F.col("observed")
-    return obs.join(F.broadcast(ref), "typecode", "left").select("typecode", "n", F.round("observed", 4).alias("observed"), F.round(ratio, 6).alias("ratio"), F.when((F.abs(ratio - 1) > 0.10) & (F.col("n") >= 100), F.round(ratio, 6)).otherwise(1.0).alias("factor"))
+    return obs.join(F.broadcast(ref), "typecode", "left").select("typecode", "n", F.round("observed", 5).alias("observed"), F.round(ratio, 6).alias("ratio"), F.when((F.abs(ratio - 1) > 0.10) & (F.col("n") >= 100), F.round(ratio, 6)).otherwise(1.0).alias("factor"))
 
 
 _GROUND = (("suolo", 0.0), ("a1000t40", 0.01), ("a1000t70", 0.02), ("a1000t100", 0.03), ("a3000t70", 0.04))
