@@ -346,4 +346,4 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The contract's columns; rows whose id has remainder 2 of 4 are held out of training."""
     net = trained(sample(docs, labels, id_col, text_col, label_col, remainder(F.col("id"), 4) != 2))
     rows = scored(docs, net, id_col, text_col)
-    return rows.select(id_col, (remainder(F.col(id_col), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return rows.select(id_col, F.coalesce(remainder(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
