@@ -4,7 +4,7 @@ A string of LENGTH bytes that occurs twice has the same anchor in both places: o
 a row for each anchor of a text (hash, hash of the bytes around it that any string with this anchor can cover) is dealt out by its hash.
 Where the whole surroundings occur twice, all of it is removed. Where only the anchor does (a repeat starts or ends nearby), the
 surroundings are brought together, once for each distinct one, dealt by anchor, and sorted: the offsets that a string can have are
-cut in four ranges, pieces that don't share their range's core are set aside, and the suffixes of the rest are sorted by a
+cut in ranges, pieces that don't share their range's core are set aside, equal pieces count as one, and the suffixes of the rest are sorted by a
 difference cover modulo 3 (suffix_order: sampled triples are named, names are sorted by recursion until they cover LENGTH bytes, and
 the remaining suffixes are merged). Adjacent suffixes that agree on LENGTH bytes, as bytes, mark repeats. Tasks hold pieces, not
 texts; groups are sorted in runs of about POOL bytes. Sorting all suffixes of a corpus instead would shuffle over 20 times its size.
@@ -26,8 +26,8 @@ from waymark.llm import common
 
 LENGTH, K, SEGMENT, POOL = 200, 100, 1 << 20, 1_000_000
 W = LENGTH - K + 1
-#: Offsets (anchor's place less string's start) in four ranges, first and last + 1.
-RANGES = ((0, 25), (25, 50), (50, 75), (75, W))
+#: Offsets (anchor's place less string's start) in ranges, first and last + 1.
+RANGES = tuple((first, min(first + 5, W) if first < W - 6 else W) for first in range(0, W - 1, 5))
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS = {x: np.cumprod(np.full(SEGMENT + 4 * LENGTH + 1, x, np.uint64)) for x in (_BASE, _INVERSE)}
@@ -160,14 +160,25 @@ def repeated_offsets(group: np.ndarray, pieces: list[bytes], left: np.ndarray) -
             core = pieces[i][core_at[i] : left[i] - last + 1 + LENGTH]
             cores.setdefault((group[i], core), []).append(i)
         pool, total = [], 0
-        for members in [*(m for m in cores.values() if len(m) > 1), None]:
-            if members is None or total > POOL:
-                if pool:
-                    _sorted_run(pool, pieces, left, sizes, offset, out)
+        for members in cores.values():
+            if len(members) < 2:
+                continue
+            same: dict[bytes, list[int]] = {}
+            for i in members:
+                whole = left[i] - last + 1 >= 0 and left[i] - first + LENGTH <= sizes[i]
+                same.setdefault(pieces[i][left[i] - last + 1 : left[i] - first + LENGTH] if whole else i, []).append(i)
+            for equal in same.values():
+                if len(equal) > 1:
+                    for i in equal:
+                        out[i].append(offset)
+            if len(same) > 1:
+                pool.append([equal[0] for equal in same.values()])
+                total += len(same) * (LENGTH + last - first)
+            if total > POOL:
+                _sorted_run(pool, pieces, left, sizes, offset, out)
                 pool, total = [], 0
-            if members:
-                pool.append(members)
-                total += len(members) * (LENGTH + last - first)
+        if pool:
+            _sorted_run(pool, pieces, left, sizes, offset, out)
     return [np.unique(np.concatenate(x)) if x else np.empty(0, np.int64) for x in out]
 
 
