@@ -4,9 +4,9 @@ The vocabulary's HEAD commonest training tokens are put into classes of about eq
 one tail class. The probability of a token is that of its class, given features of the two tokens before it, times that of the token
 in its class: for head classes a second softmax over the same features, for the tail the smoothed share of the token's count. Features are
 hashed rows of weights: the token before, the token before that (a skip), and the two together. Weights start at the logarithms of
-the classes' and tokens' counts, and are trained by distributed gradient updates: in each round every task sums the gradient of its
-texts' positions (every POSITIONS-th, shifted by text and round, so work and gathered sums follow the corpus), the sums are added in a tree, and one adaptive
-step is taken. Texts are scored in batches of sparse features in numpy.
+the classes' and tokens' counts, and are trained by distributed gradient updates: the training texts are dealt to ROUNDS rounds by a hash of
+their id, in each round every task sums the gradient of its texts' positions (every POSITIONS-th, shifted by text), the sums are added
+in a tree, and one adaptive step is taken; so every training text is read once, and work follows the corpus. Texts are scored in batches of sparse features in numpy.
 
 Counts are of all training texts, exact, and by a 64-bit hash of the token. The head is at most HEAD tokens, whatever the corpus; what a text has
 of tail tokens goes through a join with the counts by hash, in which a text's equal tokens are one row, and tokens common enough to be
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from waymark.llm import common
 from waymark.llm.toxicity import remainder
 
-WIDTH, CLASSES, BUCKETS, POSITIONS, ROUNDS, RATE = 32, 31, 1 << 12, 16, 4, 0.5
+WIDTH, CLASSES, BUCKETS, POSITIONS, ROUNDS, RATE = 32, 31, 1 << 12, 4, 4, 0.5
 HEAD, COUNTED = WIDTH * CLASSES, 20_000
 MEMO, ROWS, CHUNK = 600_000, 20_000, 1_000_000
 END = b"\n"
@@ -148,13 +148,13 @@ class Model:
 
 
 def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """ROUNDS adaptive steps on the texts of df (column text). A task returns one sum of fixed size; sums are added in a tree."""
+    """ROUNDS adaptive steps on the texts of df (columns turn and text). A task returns one sum of fixed size; sums are added in a tree."""
     spark = df.sparkSession
     squares = [np.full_like(w, 1e-6) for w in (model.wc, model.ww)]
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
-        def run(batches, turn=turn, sent=sent):
+        def run(batches, sent=sent):
             own, tokens, n = sent.value, Tokens(), 0
             sums = [np.zeros_like(own.wc), np.zeros_like(own.ww)]
             for batch in batches:
@@ -162,7 +162,7 @@ def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                     fs, places = [], []
                     for text in part.column("text").to_pylist():
                         h = tokens(text)
-                        at = np.arange((int(h[0]) + turn * 5) % POSITIONS, len(h), POSITIONS)
+                        at = np.arange(int(h[0]) % POSITIONS, len(h), POSITIONS)
                         fs.append(own.features(h)[at])
                         places.append(own.place(h[at]))
                     f, place = np.concatenate(fs), np.concatenate(places)
@@ -183,14 +183,14 @@ def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "sums"])
 
         shape = "g long, n long, sums binary"
-        sums = common.settled(df.mapInArrow(run, shape), "gradients")
+        sums = common.settled(df.where(F.col("turn") == turn).select("text").mapInArrow(run, shape), "gradients")
         tasks = len(sums.inputFiles())
         while tasks > 8:
             tasks = -(-tasks // 8)
             sums = sums.repartition(tasks).mapInArrow(add, shape)
         rows = sums.coalesce(1).mapInArrow(add, shape).collect()
         if not rows:
-            return model
+            continue
         flat = np.frombuffer(bytes(rows[0]["sums"]), np.float32) / rows[0]["n"]
         for w, s, g in ((model.wc, squares[0], flat[: model.wc.size].reshape(model.wc.shape)), (model.ww, squares[1], flat[model.wc.size :].reshape(model.ww.shape))):
             s += g * g
@@ -198,14 +198,15 @@ def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def fitted(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Model]:
+def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     """The counts (h, c; settled) of the training texts docs, and the trained model."""
     df = common.slim(docs, text_col)
     counts = common.settled(counted(df), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
     top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).collect()
     model = Model([(r["h"], r["c"]) for r in top], total["n"] or 0, total["v"])
-    return counts, trained(df, model)
+    turns = common.slim(docs, text_col, id_col).select(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)).alias("turn"), "text")
+    return counts, trained(turns, model)
 
 
 def scored(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,6 +256,6 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns; rows whose id has remainder 1 of 5 are held out of training."""
     held = remainder(F.col(id_col), 5) == 1
-    counts, model = fitted(docs.where(~F.coalesce(held, F.lit(False))), text_col)
+    counts, model = fitted(docs.where(~F.coalesce(held, F.lit(False))), id_col, text_col)
     rows = scored(docs, counts, model, id_col, text_col)
     return rows.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), *[c for c in rows.columns if c != id_col])
