@@ -211,6 +211,25 @@ def test_maxent(docs, none):
     assert maxent.report(none).count() == 0
 
 
+def test_maxent_trains_on_every_position(docs):
+    import numpy as np
+
+    texts = [maxent.Tokens()(t or "") for t in TEXTS]
+    h, c = np.unique(np.concatenate(texts), return_counts=True)
+    top = sorted(zip(h.tolist(), c.tolist(), strict=True), key=lambda x: (-x[1], x[0] - (x[0] >= 2**63) * 2**64))
+    want = maxent.Model(top, int(c.sum()), len(h))
+    squares = [np.full_like(w, 1e-6) for w in (want.wc, want.ww)]
+    for _ in range(maxent.ROUNDS):
+        sums = [np.zeros(w.shape) for w in (want.wc, want.ww)]
+        for x in texts:
+            want.gradient(want.features(x), want.place(x), *sums)
+        for w, s, g in zip((want.wc, want.ww), squares, sums, strict=True):
+            s += (g / c.sum()) ** 2
+            w += maxent.RATE * (g / c.sum()) / np.sqrt(s + 1e-5)
+    got = maxent.fitted(docs)[1]
+    assert np.allclose(got.wc, want.wc, atol=1e-3) and np.allclose(got.ww, want.ww, atol=1e-3)
+
+
 def test_toxicity_learns_a_word(spark, none):
     bad = lambda i: prose(i, 60) + (" vile " if i % 2 else " ") + prose(i + 500, 60)
     docs = spark.createDataFrame([(i, bad(i)) for i in range(240)] + [(900, None), (901, "")], "doc_id long, text string")

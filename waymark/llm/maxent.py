@@ -4,9 +4,9 @@ The vocabulary's HEAD commonest training tokens are put into classes of about eq
 one tail class. The probability of a token is that of its class, given features of the two tokens before it, times that of the token
 in its class: for head classes a second softmax over the same features, for the tail the smoothed share of the token's count. Features are
 hashed rows of weights: the token before, the token before that (a skip), and the two together. Weights start at the logarithms of
-the classes' and tokens' counts, and are trained by distributed gradient updates: the training texts are dealt to ROUNDS rounds by a hash of
-their id, in each round every task sums the gradient of its texts' positions (every POSITIONS-th, shifted by text), the sums are added
-in a tree, and one adaptive step is taken; so every training text is read once, and work follows the corpus. Texts are scored in batches of sparse features in numpy.
+the classes' and tokens' counts, and are trained by distributed gradient updates: in each of ROUNDS rounds every task sums the gradient of
+all positions of all its training texts, the sums are added in a tree, and one adaptive step is taken. Texts are scored in batches of
+sparse features in numpy.
 
 Counts are of all training texts, exact, and by a 64-bit hash of the token. The head is at most HEAD tokens, whatever the corpus; what a text has
 of tail tokens goes through a join with the counts by hash, in which a text's equal tokens are one row, and tokens common enough to be
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from waymark.llm import common
 from waymark.llm.toxicity import remainder
 
-WIDTH, CLASSES, BUCKETS, POSITIONS, ROUNDS, RATE = 32, 31, 1 << 12, 4, 4, 0.5
+WIDTH, CLASSES, BUCKETS, ROUNDS, RATE = 32, 31, 1 << 12, 4, 0.5
 HEAD, COUNTED = WIDTH * CLASSES, 20_000
 MEMO, ROWS, CHUNK = 600_000, 20_000, 1_000_000
 END = b"\n"
@@ -76,6 +76,15 @@ def counted(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def scattered(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of rows to the row of total that at names; equal ones are summed first, which is faster than np.add.at."""
+    if len(at):
+        order = np.argsort(at.astype(np.int16) if len(total) < 1 << 15 else at, kind="stable")
+        at = at[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        total[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Model:
     """Weights, and what tells a token's class: the head's hashes, sorted, with their places in order of frequency."""
 
@@ -142,16 +151,16 @@ class Model:
         b = -b
         b[np.arange(len(b)), slot[head]] += 1
         for j in range(3):
-            np.add.at(gc, f[:, j], a)
-            np.add.at(gw, f[head, j], b)
+            scattered(gc, f[:, j], a)
+            scattered(gw, f[head, j], b)
         gc[-1] += a.sum(0)
 
 
 def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """ROUNDS adaptive steps on the texts of df (columns turn and text). A task returns one sum of fixed size; sums are added in a tree."""
+    """Adaptive steps, each on all positions of all texts of df (column text). A task returns one sum of fixed size; sums are added in a tree."""
     spark = df.sparkSession
     squares = [np.full_like(w, 1e-6) for w in (model.wc, model.ww)]
-    for turn in range(rounds):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
@@ -162,9 +171,8 @@ def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                     fs, places = [], []
                     for text in part.column("text").to_pylist():
                         h = tokens(text)
-                        at = np.arange(int(h[0]) % POSITIONS, len(h), POSITIONS)
-                        fs.append(own.features(h)[at])
-                        places.append(own.place(h[at]))
+                        fs.append(own.features(h))
+                        places.append(own.place(h))
                     f, place = np.concatenate(fs), np.concatenate(places)
                     n += len(f)
                     for i in range(0, len(f), ROWS):
@@ -183,14 +191,16 @@ def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "sums"])
 
         shape = "g long, n long, sums binary"
-        sums = common.settled(df.where(F.col("turn") == turn).select("text").mapInArrow(run, shape), "gradients")
-        tasks = len(sums.inputFiles())
+        few = df.select("text").coalesce(4 * spark.sparkContext.defaultParallelism)  # sums follow the cores, not the corpus
+        sums = common.settled(few.mapInArrow(run, shape), "gradients")
+        written, tasks = sums, len(sums.inputFiles())
         while tasks > 8:
             tasks = -(-tasks // 8)
             sums = sums.repartition(tasks).mapInArrow(add, shape)
         rows = sums.coalesce(1).mapInArrow(add, shape).collect()
+        common.dropped(spark, written)
         if not rows:
-            continue
+            break
         flat = np.frombuffer(bytes(rows[0]["sums"]), np.float32) / rows[0]["n"]
         for w, s, g in ((model.wc, squares[0], flat[: model.wc.size].reshape(model.wc.shape)), (model.ww, squares[1], flat[model.wc.size :].reshape(model.ww.shape))):
             s += g * g
@@ -205,8 +215,7 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
     top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).collect()
     model = Model([(r["h"], r["c"]) for r in top], total["n"] or 0, total["v"])
-    turns = common.slim(docs, text_col, id_col).select(F.pmod(F.xxhash64(id_col), F.lit(ROUNDS)).alias("turn"), "text")
-    return counts, trained(turns, model)
+    return counts, trained(df, model)
 
 
 def scored(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
