@@ -111,6 +111,17 @@ def test_jaccard(docs, none, width, percent):
     assert jaccard.joined(none).count() == 0
 
 
+def test_jaccard_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 5)
+    monkeypatch.setattr(jaccard, "QUERIES", 4)
+    words = BASE.split()
+    texts = [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in range(2, 110, 4)] + [BASE, BASE, BASE, prose(2, 60), prose(2, 60), "", None, " ".join(words[:-6])]
+    s = [frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) for w in ((t or "").split() for t in texts)]
+    want = [sum(i != j and len(a | b) > 0 and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(s)) for i, a in enumerate(s)]
+    got = rows(jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["n_links"] for i in range(len(texts))] == want and max(want) > 20
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 90)], "a long, b long")
     got = {r["node"]: r["label"] for r in graph.components(links).collect()}
