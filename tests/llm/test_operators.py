@@ -192,6 +192,21 @@ def test_widely_copied_values_are_told_apart(spark):
     assert "vendor:4:38" in got[9]["spans"] and all(got[i]["spans"] == "" for i in range(5))
 
 
+def test_key_blocks_are_told_apart_by_their_keys(spark):
+    def block(seed: int, end: str = "\n") -> str:
+        body = [hashlib.sha256(f"{seed} {k}".encode()).hexdigest().upper() for k in range(4)]
+        return end.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", *body, "-----END RSA PRIVATE KEY-----"])
+
+    copied, cut = block(99), block(50)[:-29]
+    texts = [f"mine {block(i)} tail" for i in range(4)] + [f"ours {copied} tail", f"ours {block(99, chr(13) + chr(10))} tail", f"json {block(7, chr(92) + 'n')} tail"]
+    texts += ["see -----BEGIN RSA PRIVATE KEY----- in files", "the -----BEGIN RSA PRIVATE KEY----- line", "cut " + cut.replace("Proc-Type: 4,ENCRYPTED\n", ""), "-----BEGIN RSA PRIVATE KEY-----" + "\n" * 50 + "-----BEGIN RSA PRIVATE KEY-----\n" * 2000]
+    got = rows(secrets.report(spark.createDataFrame([(i, t, f"o{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")))
+    of = lambda i: [x for x in got[i]["spans"].split(",") if x.startswith("keyblock")]
+    assert all(of(i) == [f"keyblock:5:{5 + len(texts[i]) - 10}"] for i in (0, 1, 2, 3, 6))
+    assert of(4) == of(5) == of(7) == of(8) == of(10) == []
+    assert of(9) == [f"keyblock:4:{len(texts[9])}"]
+
+
 def test_mixing(docs, none, spark):
     got = rows(mixing.report(docs))
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(TEXTS)}

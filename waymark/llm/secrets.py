@@ -22,11 +22,13 @@ from waymark.llm import common, spans
 KINDS = ("assign", "access", "hex")
 _ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
 BASE = {"assign": _ASSIGN + r"[A-Za-z0-9+/_.=-]++", "access": r"AKIA[A-Z0-9]{14,}", "hex": r"(?<![0-9a-f])[0-9a-f]{16,}+"}
-VALUE = {"assign": _ASSIGN, "access": "^", "hex": "^"}
+#: What is no part of a match's value: the name before it; a key block's line breaks, plain or escaped.
+VALUE = {"assign": "^" + _ASSIGN, "keyblock": r"\\[rn]|\s"}
 #: Further kinds, after the base ones in order of name: tokens with a vendor's prefix, signed web tokens, key blocks, long mixed runs.
+#: A key block goes through its END line; where the next five dashes are no END line, through the key's characters, if any follow.
 MORE = {
     "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
-    "keyblock": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "keyblock": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?>[\s\S]*?-----)END [A-Z ]{0,40}PRIVATE KEY-----|[\s\\]*+[A-Za-z0-9+/=]{16,}+[A-Za-z0-9+/=\s\\]*+|)",
     "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,40}[0-9])(?=[A-Za-z0-9+/_-]{0,40}[A-Z])(?=[A-Za-z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{32,}+",
     "vendor": r"(?<![A-Za-z0-9])(?:gh[pousr]_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+",
 }
@@ -41,7 +43,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | Non
 
     def kept(k: int, kind: str) -> Column:
         found = spans.spans(text, (BASE | MORE)[kind], 0, when[kind])
-        shaped = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.regexp_replace(s["match"], "^" + VALUE[kind], "").alias("value") if kind == "assign" else s["match"].alias("value")))
+        shaped = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.regexp_replace(s["match"], VALUE[kind], "").alias("value") if kind in VALUE else s["match"].alias("value")))
         return F.filter(shaped, lambda s: F.length(s["value"]) >= 12) if kind == "assign" else shaped
 
     merged = F.array_sort(F.concat(*(kept(k, kind) for k, kind in enumerate(ALL))))
