@@ -264,3 +264,21 @@ def test_toxicity_learns_a_word(spark, none):
     right = sum(got[i]["predicted"] == i % 2 for i in range(240) if got[i]["held_out"])
     assert right >= 0.85 * sum(r["held_out"] for i, r in got.items() if i < 240) and got[900]["score"] == got[901]["score"]
     assert toxicity.report(none, labels.limit(0)).count() == 0
+
+
+def test_toxicity_reads_long_runs_whole():
+    import numpy as np
+
+    net = toxicity.Network([])
+    net.p["gram"] *= 20
+    scorer = toxicity.Scorer(net)
+    for start in ("fourteen_bytes", "日本語の文章", "x" * 3000):
+        a, b = scorer.scores([start + "fine,good", start + "vile,evil"])
+        assert abs(a - b) > 1e-6
+    for n in (1, 32, 33, 34, 61, 62, 63, 64, 500):
+        run = bytes(97 + k * k % 23 for k in range(n)).decode()
+        pieces = toxicity.places(f"a {run} b")[1:-1]
+        assert all(len(p) <= toxicity.PIECE for p in pieces) and {run[k : k + 3].encode() for k in range(n - 2)} == {p[k : k + 3] for p in pieces for k in range(len(p) - 2)}
+    code, times = toxicity.grams([b"", b"a", b"abc", b"b" * 40])
+    assert times.tolist() == [1, 1, 3, 40] and len(code) == 45
+    assert np.allclose(net.inputs([b"abc"]), net.inputs([b"", b"abc", b"b" * 40])[1:2])

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word's input joins three parts: a row for the word itself (lower case, without punctuation around it; words that the training sample
-has seldom share one row), the mean of rows for its byte trigrams and the sum of rows for its beginnings (those of HEADS bytes that the sample has often enough). Both directions of a gated recurrent layer read a window of
+Words are runs without white space; one of more than PIECE bytes is read as pieces of PIECE bytes, each a place of its own, that share two
+bytes with the next, so that every byte trigram of a run is in a piece. A word's input joins three parts: a row for the word itself (lower case, without punctuation around it; words that the training sample
+has seldom share one row), the mean of rows for all its byte trigrams and the sum of rows for its beginnings (those of HEADS bytes that the sample has often enough). Both directions of a gated recurrent layer read a window of
 WINDOW words, attention pools their states, a logistic unit gives the window's score. All windows, each overlapping the next by
 WINDOW - STRIDE words, are scored; the text's score is that of its highest window, shifted so that the decision that does best on
 the calibration part of the sample stands at CUT.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from waymark.llm import common
 
 WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
-WORDS, SEEN, WORD_DIM, GRAMS, GRAM_DIM, BYTES = 4096, 8, 12, 512, 6, 14
+WORDS, SEEN, WORD_DIM, GRAMS, GRAM_DIM, PIECE = 4096, 8, 12, 512, 6, 32
 HEADS, STARTS, HEAD_DIM = (4, 5, 6, 7, 8), 24_000, 10
 CLASS_DOCS, DOC_WINDOWS, BATCH, EPOCHS, RATE, DECAY, CUT = 1500, 24, 256, 5, 0.01, 0.5, 0.3
 MEMO, BLOCK = 300_000, 4096
@@ -35,16 +36,37 @@ def normal(words: list[bytes]) -> list[bytes]:
     return [w.lower().strip(_STRIP) for w in words]
 
 
+def places(text: str) -> list[bytes]:
+    """The text's words in order, longer ones than PIECE in pieces."""
+    words = text.encode().split()
+    if words and len(max(words, key=len)) > PIECE:
+        words = [w[i : i + PIECE] for w in words for i in range(0, max(len(w) - 2, 1), PIECE - 2)]
+    return words
+
+
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of each word's trigrams (of its first BYTES bytes, with ends) and their weights, which sum to 1."""
-    sizes = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), BYTES)
-    flat = np.zeros((len(words), BYTES + 2), np.int64)
-    flat[:, 1:-1] = np.frombuffer(b"".join([w[:BYTES].ljust(BYTES, b"\0") for w in words]), np.uint8).reshape(-1, BYTES)
-    flat[:, 0] = 256
-    flat[np.arange(len(words)), sizes + 1] = 257
-    code = ((flat[:, :-2] * 263 + flat[:, 1:-1]) * 269 + flat[:, 2:]) * 0x9E3779B1 >> 13
-    weight = (np.arange(BYTES) < np.maximum(sizes, 1)[:, None]) / np.maximum(sizes, 1)[:, None]
-    return code % GRAMS, weight.astype(np.float32)
+    """Numbers of the words' trigrams (with ends), one word's after another's, and how many each word has, one at least."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    times = np.maximum(sizes, 1)
+    flat = np.zeros((times + 2).sum(), np.int64)
+    first = np.cumsum(times + 2) - times - 2
+    inner = np.repeat(first + 1 - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    flat[inner] = np.frombuffer(b"".join(words), np.uint8)
+    flat[first] = 256
+    flat[first + sizes + 1] = 257
+    at = ragged(first, times)
+    code = ((flat[at] * 263 + flat[at + 1]) * 269 + flat[at + 2]) * 0x9E3779B1 >> 13
+    return code % GRAMS, times
+
+
+def ragged(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 and so on, times[0] numbers, then those of the others."""
+    return np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def means(rows: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The mean of each word's rows."""
+    return np.add.reduceat(rows[code], np.cumsum(times) - times, axis=0) / times[:, None].astype(np.float32) if len(times) else np.zeros((0, rows.shape[1]), np.float32)
 
 
 def windows(n: int) -> list[int]:
@@ -74,8 +96,7 @@ class Network:
     def inputs(self, words: list[bytes]) -> np.ndarray:
         """The input of each word (normal form), as rows."""
         at = np.fromiter((self.rows.get(w, 0) for w in words), np.int64, len(words))
-        code, weight = grams(words)
-        return np.concatenate([self.p["word"][at], np.einsum("nbk,nb->nk", self.p["gram"][code], weight), self.p["head"][self.beginnings(words)].sum(1)], 1)
+        return np.concatenate([self.p["word"][at], means(self.p["gram"], *grams(words)), self.p["head"][self.beginnings(words)].sum(1)], 1)
 
     def beginnings(self, words: list[bytes]) -> np.ndarray:
         """Rows of each word's beginnings; row 0 where it is shorter or the sample hasn't it."""
@@ -178,7 +199,8 @@ def trained(rows: list[tuple[object, int, list[bytes]]], seed: int = 7) -> Netwo
         mask[k, : len(words)] = 1
     y = np.array([r[1] for r in rows], np.float32)
     train = np.array([r[0] not in held for r in rows])
-    code, weight = grams(every)
+    code, times = grams(every)
+    first = np.cumsum(times) - times
     at = np.fromiter((net.rows.get(w, 0) for w in every), np.int64, len(every))
     begin = net.beginnings(every)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -203,14 +225,15 @@ def trained(rows: list[tuple[object, int, list[bytes]]], seed: int = 7) -> Netwo
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             used, back = np.unique(index[pick], return_inverse=True)
-            words_at = at[used]
-            x = np.concatenate([net.p["word"][words_at], np.einsum("nbk,nb->nk", net.p["gram"][code[used]], weight[used]), net.p["head"][begin[used]].sum(1)], 1)
+            words_at, many = at[used], times[used]
+            codes = code[ragged(first[used], many)]
+            x = np.concatenate([net.p["word"][words_at], means(net.p["gram"], codes, many), net.p["head"][begin[used]].sum(1)], 1)
             logit, kept = net.forward(net.projected(x), back.reshape(len(pick), WINDOW), mask[pick], keep=True)
             slope = ((_sigmoid(logit) - y[pick]) / len(pick)).astype(np.float32)
             g, dx = net.backward(kept, slope, x)
             g |= {k: np.zeros_like(net.p[k]) for k in ("word", "gram", "head")}
             np.add.at(g["word"], words_at, dx[:, :WORD_DIM])
-            np.add.at(g["gram"], code[used].ravel(), (dx[:, None, WORD_DIM : WORD_DIM + GRAM_DIM] * weight[used][:, :, None]).reshape(-1, GRAM_DIM))
+            np.add.at(g["gram"], codes, np.repeat(dx[:, WORD_DIM : WORD_DIM + GRAM_DIM] / many[:, None].astype(np.float32), many, 0))
             np.add.at(g["head"], begin[used].ravel(), np.repeat(dx[:, WORD_DIM + GRAM_DIM :], len(HEADS), 0))
             g["head"][0] = 0
             step += 1
@@ -278,7 +301,7 @@ class Scorer:
             index, owner, count = [], [], 0
 
         for k, text in enumerate(texts):
-            words = text.encode().split()
+            words = places(text)
             if len(self.memo) + len(words) > MEMO:
                 run()
             ids = self.rows(words)
@@ -310,7 +333,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             for part in common.pieces(batch):
                 out = []
                 for i, y, text in zip(part.column("id").to_pylist(), part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words = text.encode().split()
+                    words = places(text)
                     starts = windows(len(words))
                     picked = starts if len(starts) <= DOC_WINDOWS else [starts[k * len(starts) // DOC_WINDOWS] for k in range(DOC_WINDOWS)]
                     out += [(i, y, b" ".join(w or b"-" for w in normal(words[s : s + WINDOW]))) for s in picked]
