@@ -282,3 +282,10 @@ def test_toxicity_reads_long_runs_whole():
     code, times = toxicity.grams([b"", b"a", b"abc", b"b" * 40])
     assert times.tolist() == [1, 1, 3, 40] and len(code) == 45
     assert np.allclose(net.inputs([b"abc"]), net.inputs([b"", b"abc", b"b" * 40])[1:2])
+
+
+def test_toxicity_windows_hold_passages_of_half_a_window():
+    half = toxicity.WINDOW // 2
+    for n in (1, 47, 48, 49, 72, 73, 200, 1001):
+        starts = toxicity.windows(n)
+        assert all(any(s <= k and min(k + half, n) <= s + toxicity.WINDOW for s in starts) for k in range(n))

@@ -4,11 +4,11 @@ Words are runs without white space; one of more than PIECE bytes is read as piec
 bytes with the next, so that every byte trigram of a run is in a piece. A word's input joins three parts: a row for the word itself (lower case, without punctuation around it; words that the training sample
 has seldom share one row), the mean of rows for all its byte trigrams and the sum of rows for its beginnings (those of HEADS bytes that the sample has often enough). Both directions of a gated recurrent layer read a window of
 WINDOW words, attention pools their states, a logistic unit gives the window's score. All windows, each overlapping the next by
-WINDOW - STRIDE words, are scored; the text's score is that of its highest window, shifted so that the decision that does best on
+WINDOW - STRIDE words, are scored, so that each passage of up to one word more than that stands whole in one; the text's score is that of its highest window, shifted so that the decision that does best on
 the calibration part of the sample stands at CUT.
 
 Training takes a bounded sample: of the labelled texts that may be learned from, at most CLASS_DOCS of each class, in the order of
-a hash of their id, and of each at most DOC_WINDOWS windows, evenly spaced. A toxic text's label holds for at least one of its
+a hash of their id, and of each at most DOC_WINDOWS windows, evenly spaced among those at each LEARNED words. A toxic text's label holds for at least one of its
 windows: after a first pass over all, its highest windows are the positive ones. Everything is seeded; reruns agree.
 
 Defined results: a null or empty text is scored as one window of padding. Texts of any length are scored whole. Equal texts have
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import common
 
-WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
+WINDOW, STRIDE, LEARNED, HIDDEN, ATTENTION = 48, 24, 36, 8, 8
 WORDS, SEEN, WORD_DIM, GRAMS, GRAM_DIM, PIECE = 4096, 8, 12, 512, 6, 32
 HEADS, STARTS, HEAD_DIM = (4, 5, 6, 7, 8), 24_000, 10
 CLASS_DOCS, DOC_WINDOWS, BATCH, EPOCHS, RATE, DECAY, CUT = 1500, 24, 256, 5, 0.01, 0.5, 0.3
@@ -69,9 +69,9 @@ def means(rows: np.ndarray, code: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows[code], np.cumsum(times) - times, axis=0) / times[:, None].astype(np.float32) if len(times) else np.zeros((0, rows.shape[1]), np.float32)
 
 
-def windows(n: int) -> list[int]:
-    """Where windows over n words start: each STRIDE words until one reaches the end."""
-    return list(range(0, max(n - WINDOW, 0) + STRIDE, STRIDE)) if n > WINDOW else [0]
+def windows(n: int, stride: int = STRIDE) -> list[int]:
+    """Where windows over n words start: each stride words until one reaches the end."""
+    return list(range(0, max(n - WINDOW, 0) + stride, stride)) if n > WINDOW else [0]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -334,7 +334,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
                 out = []
                 for i, y, text in zip(part.column("id").to_pylist(), part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = places(text)
-                    starts = windows(len(words))
+                    starts = windows(len(words), LEARNED)
                     picked = starts if len(starts) <= DOC_WINDOWS else [starts[k * len(starts) // DOC_WINDOWS] for k in range(DOC_WINDOWS)]
                     out += [(i, y, b" ".join(w or b"-" for w in normal(words[s : s + WINDOW]))) for s in picked]
                 if out:
