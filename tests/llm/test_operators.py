@@ -88,6 +88,19 @@ def test_media_round_trip(docs, none):
     assert media.contents(media.packed(none)).count() == 0
 
 
+def test_media_query_fills_metadata_by_header_reads(spark, monkeypatch, tmp_path):
+    from waymark.llm import queries
+
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked, real = [], media.headers
+    monkeypatch.setattr(media, "headers", lambda *a, **b: asked.append(1) or real(*a, **b))
+    got = rows(queries.op3_media_tar(spark, str(tmp_path)))
+    assert asked and len(got) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        r = got[i]
+        assert (r["width"], r["bit_depth"], r["n_bytes"]) == (media.ROW, 8, len((t or "").encode())) and r["width"] * r["height"] == r["payload_bytes"]
+
+
 def sets(width):
     out = {}
     for i, t in enumerate(TEXTS):

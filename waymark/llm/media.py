@@ -4,7 +4,7 @@ A payload (here a text's UTF-8 bytes, then zero bytes up to a positive multiple
 samples a line, which is lossless. Each task writes its own shards under names that no other attempt uses, and keeps a digest at
 most once; the index rows name shard, offset and length. Lost or repeated attempts leave shards that no index row names. A shard is
 closed beyond SHARD_BYTES, so a task holds one member and an open file. headers() reads only the first HEAD bytes of a member for its
-metadata; contents() reads whole members and computes what depends on the samples. Both read each distinct member once a task.
+metadata, and described() fills the index with it; contents() reads whole members and computes what depends on the samples. Both read each distinct member once a task.
 
 Defined results: a null or empty text has a payload of ROW zero bytes. Texts of any length are stored whole, in one member. Equal
 texts share a member in each shard, and have equal values in every column but the shard and offset. Empty tables give an empty index.
@@ -133,7 +133,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 def _read(index: DataFrame, id_col: str, keep: list[str], names: list[str], schema: str, look) -> DataFrame:
     """For each row keep and look(read), where read(n) gives the first n bytes of its member; rows of a shard are read by one task."""
     tasks = max(1, min(20_000, index.select("shard").distinct().count()))
-    df = index.select(id_col, *keep, "folder", "shard", "offset", "length").repartition(tasks, "shard").sortWithinPartitions("shard", "offset")
+    df = index.select(id_col, *keep, *(c for c in ("folder", "shard", "offset", "length") if c not in keep)).repartition(tasks, "shard").sortWithinPartitions("shard", "offset")
 
     def run(batches):
         name, file, last, found = None, None, None, None
@@ -157,26 +157,30 @@ def _read(index: DataFrame, id_col: str, keep: list[str], names: list[str], sche
     return df.mapInArrow(run, f"{kinds}, {schema}")
 
 
-def headers(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id_col, digest, width, height, bit_depth, read from the header alone."""
+def headers(index: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("digest",)) -> DataFrame:
+    """id_col, keep, width, height, bit_depth, read from the header alone."""
 
     def look(read):
         head = png_header(read(HEAD))
         return head["width"], head["height"], head["bit_depth"]
 
-    return _read(index, id_col, ["digest"], ["width", "height", "bit_depth"], "width long, height long, bit_depth long", look)
+    return _read(index, id_col, list(keep), ["width", "height", "bit_depth"], "width long, height long, bit_depth long", look)
 
 
-def contents(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_bytes and what the stored bytes give: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height."""
+def described(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The index with width, height and bit_depth, each from the first HEAD bytes of its member."""
+    return headers(index, id_col, tuple(c for c in index.columns if c != id_col))
+
+
+def contents(index: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
+    """id_col, keep and what the stored samples give: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
 
     def look(read):
-        head = png_header((media := read(1 << 62))[:HEAD])
-        payload = samples(media)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), head["width"], head["height"]
+        payload = samples(media := read(1 << 62))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-    return _read(index, id_col, ["n_bytes"], names, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long", look)
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return _read(index, id_col, list(keep), names, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", look)
 
 
 def restored(index: DataFrame, id_col: str = "doc_id") -> DataFrame:

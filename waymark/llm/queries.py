@@ -23,7 +23,10 @@ def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.contents(media.packed(common.documents(spark, sf_dir)))
+    index = media.described(media.packed(common.documents(spark, sf_dir)))
+    rows = media.contents(index, keep=("n_bytes", "width", "height", "bit_depth"))
+    filled = ["width", "height", "bit_depth"]
+    return rows.select(*(c for c in rows.columns if c not in filled), *filled)
 
 
 def op4_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
