@@ -12,7 +12,8 @@ numbers that the running sum of rates passes, so the error in tokens is about on
 is cut into parts: the histogram gives where each size starts, and documents of one size are spread over PARTS by a hash of their
 id, so no source or size sums in one task.
 
-Defined results: a null or empty text has size 0 and one copy. Rows with equal id and text fill places next to each other. A source of size 0 has target 0. In an empty
+Defined results: a null or empty text has size 0 and one copy. Rows with equal ids are told apart by text and source, in mixed() by
+all columns but maps; rows equal in those get the copies of either. Null ids are ids. A source of size 0 has target 0. In an empty
 table there is nothing. Reruns agree. Other columns, whatever their names, are kept by mixed() and not read.
 """
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from waymark.llm import common
 
-WEIGHTS, MOST, STEPS, PARTS = (5.0, 2.0, 1.0), 3.0, 12, 64
+WEIGHTS, MOST, PARTS = (5.0, 2.0, 1.0), 3.0, 64
+#: Newton steps at most, and how far (as a share of the target) a source may be from it when they end; beyond that an error is raised.
+STEPS, TOLERANCE = 80, 1e-9
 
 
 def words(text: Column) -> Column:
@@ -54,8 +57,9 @@ def rate(multiplier: Column, size: Column, mean: Column, most: float = MOST) ->
     return F.when(multiplier * size / mean < F.log(F.lit(most)), F.exp(multiplier * size / mean)).otherwise(F.lit(most))
 
 
-def multipliers(cells: DataFrame, most: float = MOST, steps: int = STEPS) -> DataFrame:
-    """source, source_size, target, mean, lam for each source; cells: source, size, n (how many documents)."""
+def multipliers(cells: DataFrame, most: float = MOST, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """source, source_size, target, mean, lam for each source; cells: source, size, n (how many documents). Steps go on until each
+    source that its cap doesn't fill is within tolerance of its target, or raise after so many."""
     sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"), F.max("size").alias("largest"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("smallest"))
     goal = targets(sums.select("source", "source_size"), most=most)
     state = sums.drop("source_size").join(goal, sums["source"].eqNullSafe(goal["source"])).drop(goal["source"])
@@ -63,6 +67,7 @@ def multipliers(cells: DataFrame, most: float = MOST, steps: int = STEPS) -> Dat
     # Below lo even the smallest text has next to nothing, above hi even the smallest has most copies.
     state = state.withColumn("lo", F.lit(-60.0) * F.col("mean") / F.coalesce(F.col("smallest"), F.lit(1))).withColumn("hi", (F.log(F.lit(most)) + 1e-9) * F.col("mean") / F.coalesce(F.col("smallest"), F.lit(1))).withColumn("lam", F.lit(0.0))
     state = common.settled(state, "multipliers")
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     for _ in range(steps):
         at = cells.join(state.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
         r, z = rate(F.col("lam"), F.col("size"), F.col("mean"), most), F.col("size") / F.col("mean")
@@ -72,15 +77,20 @@ def multipliers(cells: DataFrame, most: float = MOST, steps: int = STEPS) -> Dat
         joined = joined.withColumn("hi", F.when(above, F.col("lam")).otherwise(F.col("hi"))).withColumn("lo", F.when(above, F.col("lo")).otherwise(F.col("lam")))
         newton = F.col("lam") + (F.log(F.greatest(F.col("target"), F.lit(1e-12))) - F.log(F.greatest(F.col("g"), F.lit(1e-12)))) * F.col("g") / F.col("h")
         inside = (F.col("h") > 0) & (newton >= F.col("lo")) & (newton <= F.col("hi"))
-        moved = joined.withColumn("lam", F.when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)).drop("g", "h")
+        met = full | (F.abs(F.col("g") - F.col("target")) <= tolerance * F.col("target"))
+        moved = joined.withColumn("lam", F.when(met, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)).withColumn("met", met).drop("g", "h")
         state, old = common.settled(moved, "multipliers"), state
         common.dropped(state.sparkSession, old)
-    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
+        if not state.where("not met").head(1):
+            break
+        state = state.drop("met")
+    else:
+        raise RuntimeError("the multipliers did not meet their targets within the limit of steps")
     return state.select("source", "source_size", "target", "mean", F.when(full, F.col("hi") + 1e3 * F.abs(F.col("hi")) + 1e3).otherwise(F.col("lam")).alias("lam"))
 
 
 def planned(rows: DataFrame, most: float = MOST, parts: int = PARTS) -> DataFrame:
-    """rows (id, source, size; settled, as they are read again) with source_size, target, rate and copies."""
+    """rows (id, key, source, size, and any others; settled, as they are read again) with source_size, target, rate and copies."""
     cells = common.settled(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     duals = multipliers(cells, most)
     part = F.pmod(F.xxhash64("id"), F.lit(parts))
@@ -93,7 +103,7 @@ def planned(rows: DataFrame, most: float = MOST, parts: int = PARTS) -> DataFram
     before = Window.partitionBy("source", "block").orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = limits.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("start", F.col("block_from") + F.coalesce(F.sum(F.col("rate") * F.col("n")).over(before), F.lit(0.0)))
     starts = starts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "rate", "start", "source_size", "target")
-    own = Window.partitionBy("source", "size", "part").orderBy("id")
+    own = Window.partitionBy("source", "size", "part").orderBy("id", "key")
     placed = rows.withColumn("part", part).withColumn("place", F.row_number().over(own))
     out = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")))
     passed = lambda x: F.floor(F.col("start") + F.col("rate") * x + 0.5 + 1e-9)
@@ -101,8 +111,11 @@ def planned(rows: DataFrame, most: float = MOST, parts: int = PARTS) -> DataFram
     return out.withColumn("copies", F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(copies)).select(*rows.columns, "source_size", "target", "rate", "copies")
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), words(F.col(f"`{text_col}`")).alias("size"))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
+    """id, key (orders rows of equal ids), source, size of each row; with keep also row, the columns of docs, and number, by which a row is found again."""
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if keep and "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text, source, *others).alias("key"), source.alias("source"), words(text).alias("size"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("number")] if keep else []))
     return common.settled(rows, "sized")
 
 
@@ -113,10 +126,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. The copies of rows with equal ids are shared out among them."""
-    plan = planned(sized(docs, id_col, text_col, source_col)).groupBy(F.col("id").alias("__id")).agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    joined = docs.join(plan, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    alone = F.col("__rows") == 1
-    turn = F.when(alone, F.lit(1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("__rows")) + 1)
-    share = F.when(alone, F.col("__sum")).otherwise(F.floor(F.col("__sum") * turn / F.col("__rows")) - F.floor(F.col("__sum") * (turn - 1) / F.col("__rows")))
-    return joined.withColumn("__copies", share.cast("int")).withColumn("__each", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))).otherwise(F.array().cast("array<int>")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs, each as often as the mix takes it, whether ids are null or repeat. Rows are written once with their numbers, and
+    planned and delivered by number."""
+    rows = sized(docs, id_col, text_col, source_col, keep=True)
+    plan = planned(rows.drop("row")).where("copies > 0").select(F.col("number").alias("__number"), F.col("copies").cast("int").alias("__copies"))
+    out = rows.select("number", "row").join(plan, F.col("number") == F.col("__number"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
