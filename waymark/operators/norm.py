@@ -9,10 +9,23 @@ from waymark.functions import geo
 
 
 def median(x: Column) -> Column:
-    """Exact; on values rounded to 4 places, so that what an aggregation holds is bounded by the grid."""
+    """Exact, of values rounded to 4 places."""
     return F.percentile(F.round(x, 4), 0.5)
 
 
+def medians(cells: DataFrame, keys: list[str], metrics: list[str], prefix: str) -> DataFrame:
+    """keys and the median of each metric, from a histogram: cells (keys, m: the metric's place, v: its value, n: how often it stands).
+
+    The middle values are those at which the running count passes half; values of one metric and key run in order through a window
+    over distinct values, so a key with many rows is as many rows as it has values, whatever the rows."""
+    order = Window.partitionBy(*keys, "m").orderBy("v")
+    run = cells.withColumns({"__to": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("n").over(Window.partitionBy(*keys, "m"))})
+    a, b = F.floor((F.col("__all") + 1) / 2), F.floor((F.col("__all") + 2) / 2)
+    holds = lambda at: (F.col("__to") >= at) & (F.col("__to") - F.col("n") < at)
+    pick = lambda i, at: F.max(F.when((F.col("m") == i) & holds(at), F.col("v")))
+    return run.groupBy(*keys).agg(*((pick(i, a) / 2 + pick(i, b) / 2).alias(f"{prefix}_{m}") for i, m in enumerate(metrics)))
+
+
 def deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int, bins: Column | None = None) -> DataFrame:
     """rows with, for each output name of metrics, a metric's deviation from the median of its (bin, type) cell, or of its bin where
     the cell has fewer than cell_min rows. Two aggregations join back; no window sorts the rows."""
@@ -58,7 +71,8 @@ def corrected(rows: DataFrame) -> DataFrame:
     """rows whose real consumption is less its share on the ground, percentages computed anew."""
     real = F.col("real") * (1 - F.coalesce("share", F.lit(0.0)))
     out = rows.withColumn("real", real)
-    return out.withColumns({"total": (F.col("real") - F.col("ideal")) / F.col("ideal") * 100, "vertical": (F.col("real") - F.col("hybrid")) / F.col("ideal") * 100})
+    ideal = F.nullif(F.col("ideal"), F.lit(0.0))
+    return out.withColumns({"total": (F.col("real") - F.col("ideal")) / ideal * 100, "vertical": (F.col("real") - F.col("hybrid")) / ideal * 100})
 
 
 def checked_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,6 +82,33 @@ def checked_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     return left.join(right, keys, "left")
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of tables whose keys are unique on both sides; raises where one has a key twice."""
+    for name, side in (("left", left), ("right", right)):
+        if side.groupBy(*keys).count().where("count > 1").head(1):
+            raise ValueError(f"the {name} side has equal keys {keys}")
+    return left.join(right, keys)
+
+
+def calibrated(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """rows with real, ideal and hybrid times the type's factor (typecode, factor), 1 where it has none."""
+    out = rows.join(factors, "typecode", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    return out.withColumns({c: F.col(c) * F.col("factor") for c in ("real", "ideal", "hybrid")})
+
+
+def analysed(rows: DataFrame, shares: DataFrame | None, factors: DataFrame, cell_min: int, keys: tuple[str, ...] = ("day", "flight_id")) -> DataFrame:
+    """The analysis table: rows, their share on the ground (keys, share; joined without multiplying rows, no share where it has none), real
+    consumption without it, percentages anew, calibrated levels, and deviations from the norm (d_total, d_lateral, d_vertical). Days
+    that shares lacks as a whole raise, as a missing share would read as nothing on the ground."""
+    out = rows
+    if shares is not None:
+        lacking = rows.select("day").distinct().join(shares.select("day").distinct(), "day", "left_anti").orderBy("day").limit(20).collect()
+        if lacking:
+            raise ValueError(f"days without ground shares: {[str(r['day']) for r in lacking]}")
+        out = checked_left(rows.drop("share"), shares, list(keys))
+    return deviations(calibrated(corrected(out), factors), {"d_total": "total", "d_lateral": "lateral", "d_vertical": "vertical"}, cell_min)
+
+
 def average_rank(rows: DataFrame, column: str, out: str, *group: str) -> DataFrame:
     """rows with the average rank of column within group: from counts of its values, so ties are one row of the window."""
     values = rows.groupBy(*group, column).agg(F.count(F.lit(1)).alias("__n"))

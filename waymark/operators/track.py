@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
 
+
 def _by_time():
     return Window.partitionBy("aircraft").orderBy("t", "event_id")
 
@@ -19,30 +25,87 @@ def legs(points: DataFrame, gap_s: float = 1800.0) -> DataFrame:
     return flagged.withColumn("leg", F.sum("__new").over(_by_time().rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 
 
-def _folded(points: DataFrame, keys: list[str], keep) -> DataFrame:
-    """Points kept by a fold over each key's points in the order of time; keep(last kept, point) decides. The state is the last kept point."""
-    ordered = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "lat", "lon", "alt"))).alias("p"))
-    kept = F.aggregate("p", F.array().cast("array<struct<t:double,event_id:bigint,lat:double,lon:double,alt:double>>"), lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(keep(F.try_element_at(a, F.lit(-1)), x), F.array_append(a, x)).otherwise(a))
-    return ordered.select(*keys, F.element_at("p", -1).alias("__last"), kept.alias("__kept"))
-
-
-def cleaned(points: DataFrame, max_kt: float = 1400.0, keys: list[str] | None = None) -> DataFrame:
-    """Points later than the last kept one that it could reach at max_kt."""
-    keys = keys or ["aircraft"]
-
-    def reachable(last: Column, x: Column) -> Column:
-        dt = x["t"] - last["t"]
-        return (dt > 0) & (geo.haversine_km(last["lat"], last["lon"], x["lat"], x["lon"]) / 1.852 / (dt / 3600) <= max_kt)
-
-    return _folded(points, keys, reachable).select(*keys, F.explode("__kept").alias("x")).select(*keys, "x.*")
+def _new_groups(batch: pa.RecordBatch, keys: list[str], last: tuple | None) -> np.ndarray:
+    """Whether each row's keys differ from those of the row before; nulls are equal to nulls."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        x = batch.column(k)
+        if len(x) > 1:
+            null = x.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= pc.fill_null(pc.not_equal(x[1:], x[:-1]), False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+    new[0] = last is None or last != tuple(batch.column(k)[0].as_py() for k in keys)
+    return new
+
+
+def _walked(points: DataFrame, keys: list[str], columns: list[str], keep, ends: bool) -> DataFrame:
+    """The points that keep() chooses, group by group in order of time. keep(state, t, lat, lon) gives a mask for a run of a group's points and the
+    state that its next run starts from (None at the first). With ends, each group's last point is kept as well.
+
+    Points come sorted, in batches; a task holds one batch and a state, however long a group is, and does one step a point."""
+    names = [*keys, "t", "event_id", *columns]
+    df = points.select(*names).repartition(*keys).sortWithinPartitions(*keys, "t", "event_id")
+
+    def run(batches):
+        last, state, pending = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("t", "lat", "lon"))
+            new = _new_groups(batch, keys, last)
+            starts = np.flatnonzero(new | (np.arange(batch.num_rows) == 0))
+            mask = np.zeros(batch.num_rows, bool)
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if new[a]:
+                    if pending is not None and a == 0:
+                        yield pending
+                    elif ends and a:
+                        mask[a - 1] = True
+                    state, pending = None, None
+                mask[a:b], state = keep(state, t[a:b], lat[a:b], lon[a:b])
+            last = tuple(batch.column(k)[-1].as_py() for k in keys)
+            pending = batch.slice(batch.num_rows - 1) if ends and not mask[-1] else None
+            yield batch.filter(pa.array(mask))
+        if pending is not None:
+            yield pending
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    a, b = math.radians(lat1), math.radians(lat2)
+    s = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(max(s, 0.0), 1.0)))
+
+
+def cleaned(points: DataFrame, max_kt: float = 1400.0, keys: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Points later than the last kept one that it could reach at max_kt: keys, t, event_id, lat, lon, alt, and the columns of keep. A point without
+    a place goes, unless it is the first."""
+
+    def reachable(state, t, lat, lon):
+        mask = np.zeros(len(t), bool)
+        for i, p in enumerate(zip(t.tolist(), lat.tolist(), lon.tolist(), strict=True)):
+            if state is None or p[0] > state[0] and _km(state[1], state[2], p[1], p[2]) / 1.852 / ((p[0] - state[0]) / 3600) <= max_kt:
+                mask[i], state = True, p
+        return mask, state
+
+    return _walked(points, keys or ["aircraft"], ["lat", "lon", "alt", *(keep or [])], reachable, False)
+
+
+def thinned(points: DataFrame, spacing_s: float = 10.0, keys: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The first and last points, and those at least spacing_s after the last kept one."""
 
+    def spaced(state, t, lat, lon):
+        mask, i = np.zeros(len(t), bool), 0
+        if state is not None:
+            i = int(np.searchsorted(t - state, spacing_s))
+        while i < len(t):
+            mask[i], state = True, t[i]
+            i += 1 + int(np.searchsorted(t[i + 1 : i + 65] - state, spacing_s))
+            while 0 < i < len(t) and t[i] - state < spacing_s:
+                i += int(np.searchsorted(t[i : i + 64] - state, spacing_s))
+        return mask, state
 
-def thinned(points: DataFrame, spacing_s: float = 10.0, keys: list[str] | None = None) -> DataFrame:
-    """The first and last points, and those at least spacing_s after the last kept one."""
-    keys = keys or ["aircraft"]
-    out = _folded(points, keys, lambda last, x: x["t"] - last["t"] >= spacing_s)
-    every = F.when(F.element_at("__kept", -1)["event_id"] == F.col("__last")["event_id"], F.col("__kept")).otherwise(F.array_append("__kept", F.col("__last")))
-    return out.select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")
+    return _walked(points, keys or ["aircraft"], ["lat", "lon", "alt", *(keep or [])], spaced, True)
 
 
 def quality(points: DataFrame, keys: list[str], long_gap_s: float = 120.0) -> DataFrame:
@@ -91,3 +154,19 @@ def nearest(points: DataFrame, places: DataFrame, radius_km: float = 8.0, cell_d
     met = placed.join(spread, ["cy", "cx"]).withColumn("km", geo.flat_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("km") < radius_km)
     best = met.groupBy("event_id").agg(F.min(F.struct("km", "place")).alias("m")).select("event_id", "m.place", "m.km")
     return points.join(best, "event_id", "left")
+
+
+def within(places: DataFrame, receivers: DataFrame, radius_km: float, cell_deg: float = 2.0) -> DataFrame:
+    """Pairs of places (lat, lon) and receivers (rlat, rlon) at most radius_km apart. Places are copied to the cells that the radius can touch, all
+    longitudes where it holds a pole, and receivers join on their own cell."""
+    degrees = math.degrees(radius_km / geo.EARTH_KM)
+    cell = lambda x: F.floor(x / cell_deg).cast("int")
+    turn = round(360 / cell_deg)
+    reach = F.sin(F.lit(math.radians(min(degrees, 90)))) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9))
+    polar = (F.abs(F.col("lat")) + degrees >= 90) | (reach >= 1)
+    halo = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))))
+    rows = F.sequence(cell(F.col("lat") - degrees), cell(F.col("lat") + degrees))
+    around = F.array_distinct(F.transform(F.sequence(cell(F.col("lon") - halo), cell(F.col("lon") + halo)), lambda c: F.pmod(c, F.lit(turn))))
+    spread = places.withColumn("cy", F.explode(rows)).withColumn("cx", F.explode(around))
+    met = spread.join(receivers.withColumns({"cy": cell(F.col("rlat")), "cx": F.pmod(cell(F.col("rlon")), F.lit(turn))}), ["cy", "cx"]).drop("cy", "cx")
+    return met.where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) <= radius_km)

@@ -141,10 +141,10 @@ def q_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(F.when(F.col("s").rlike("^[A-Z]{3}[0-9]"), F.substring("s", 1, 3)).alias("operator")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("signs"))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d) SELECT day FROM s ANTI JOIN d USING (day)""")
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 450000), s AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d) SELECT day FROM s ANTI JOIN d USING (day)""")
 def q_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days between the first and last that have no data (of the orders that a third of keys make, so that some miss)."""
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.to_date("o_orderdate").alias("day")).distinct()
+    """Days between the first and last large order on which none was placed."""
+    d = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.to_date("o_orderdate").alias("day")).distinct()
     return d.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day")).join(d, "day", "left_anti")
 
 
@@ -178,22 +178,21 @@ def q_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
 
 
-@query("WITH s AS (SELECT s_nationkey AS nation, count(*) AS suppliers FROM supplier WHERE s_suppkey % 5 < 3 GROUP BY 1), c AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) SELECT coalesce(s.nation, c.nation) AS nation, coalesce(suppliers, 0) AS suppliers, coalesce(customers, 0) AS customers FROM s FULL JOIN c ON s.nation = c.nation")
+@query("WITH s AS (SELECT round(s_acctbal / 500) * 500 AS band, count(*) AS suppliers FROM supplier GROUP BY 1), c AS (SELECT round(c_acctbal / 500) * 500 AS band, count(*) AS customers FROM customer GROUP BY 1) SELECT coalesce(s.band, c.band) AS band, coalesce(suppliers, 0) AS suppliers, coalesce(customers, 0) AS customers FROM s FULL JOIN c ON s.band = c.band")
 def q_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 < 3").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
-    return s.join(c, "nation", "outer").na.fill(0)
+    """Two tables' counts by balance band, a band that one of them lacks with 0."""
+    s = table(spark, sf_dir, "supplier").groupBy((F.round(F.col("s_acctbal") / 500) * 500).alias("band")).agg(F.count(F.lit(1)).alias("suppliers"))
+    c = table(spark, sf_dir, "customer").groupBy((F.round(F.col("c_acctbal") / 500) * 500).alias("band")).agg(F.count(F.lit(1)).alias("customers"))
+    return s.join(c, "band", "outer").na.fill(0, ["suppliers", "customers"])
 
 
 @query(f"""WITH a AS (SELECT n_nationkey AS k, 36 + n_nationkey * 1.45::DOUBLE AS lat, -9 + (n_nationkey * 7 % 25) * 1.35::DOUBLE AS lon FROM nation), r AS (SELECT s_suppkey, 36 + (s_suppkey * 13 % 3600) / 100.0::DOUBLE AS rlat, -9 + (s_suppkey * 29 % 3300) / 100.0::DOUBLE AS rlon FROM supplier)
 SELECT k, count(s_suppkey) AS receivers FROM a LEFT JOIN r ON {_hav('lat', 'lon', 'rlat', 'rlon')} <= 600 GROUP BY k""")
 def q_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receivers within a distance of each place; places without any count 0. Receivers meet places in grid cells."""
+    """Receivers within a distance of each place; places without any count 0. Receivers meet places in grid cells, both ways."""
     a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), (36 + F.col("n_nationkey") * 1.45).alias("lat"), (-9 + (F.col("n_nationkey") * 7 % 25) * 1.35).alias("lon"))
     r = table(spark, sf_dir, "supplier").select("s_suppkey", (36 + (F.col("s_suppkey") * 13 % 3600) / 100.0).alias("rlat"), (-9 + (F.col("s_suppkey") * 29 % 3300) / 100.0).alias("rlon"))
-    cell = lambda x: F.floor(x / 6.0).cast("int")
-    spread = a.withColumn("cell", F.explode(F.sequence(cell(F.col("lat")) - 1, cell(F.col("lat")) + 1)))
-    met = spread.join(r.withColumn("cell", cell(F.col("rlat"))), "cell").where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) <= 600).groupBy("k").agg(F.count(F.lit(1)).alias("receivers"))
+    met = track.within(a, r, 600.0).groupBy("k").agg(F.count(F.lit(1)).alias("receivers"))
     return a.select("k").join(met, "k", "left").na.fill(0)
 
 
