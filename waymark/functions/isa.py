@@ -33,6 +33,12 @@ def best_tas_kt(ias_kt: Column, gs_kt: Column, alt_ft: Column) -> Column:
     return F.when(ias_kt > 40, tas_kt(ias_kt, alt_ft)).otherwise(gs_kt)
 
 
-def saturation_hpa_ice(temp_k: Column) -> Column:
-    t = temp_k - 273.16
-    return 6.1121 * F.exp(22.587 * t / (t + 273.86))
+def saturation_pa_ice(temp_k: Column) -> Column:
+    """Saturation vapour pressure over ice. The formula's published coefficients."""
+    return F.exp(9.550426 - 5723.265 / temp_k + 3.53068 * F.log(temp_k) - 0.00728332 * temp_k)
+
+
+def relative_humidity_ice(specific: Column, temp_k: Column, pressure_pa: Column) -> Column:
+    """Over ice, in percent, from the specific humidity (kg/kg)."""
+    vapour = specific * pressure_pa / (0.622 + 0.378 * specific)
+    return vapour / saturation_pa_ice(temp_k) * 100

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Units, and the constants of loads, profiles and terminal areas.
 KT, FT, CO2, PAX_KG, LOAD, RESERVE_KG = 0.514444, 0.3048, 3.16, 100.0, 0.82, 2000.0
 STEP_S, CLIMB_FPM, DESCENT_FPM, LOW_KT, MAX_CAS_KT, TMA_KM, EARTH_KM = 20.0, 2000.0, 1800.0, 250.0, 310.0, 74.08, 6371.0088
 
@@ -66,7 +67,7 @@ def steps(t, alt, tas, km) -> dict[str, np.ndarray] | None:
     dt, alt = np.diff(t), np.nan_to_num(np.asarray(alt, float))
     vs = np.diff(alt) / np.where(dt > 0, dt, 1) * 60
     ok = (dt > 0) & (dt <= 600) & np.isfinite(tas[:-1]) & (np.nan_to_num(tas[:-1]) > 0)
-    return {"dt": dt[ok], "alt": alt[:-1][ok], "vs": vs[ok], "tas": np.asarray(tas)[:-1][ok], "km": np.asarray(km)[ok]} if ok.sum() >= 10 else None
+    return {"dt": dt[ok], "alt": alt[:-1][ok], "vs": vs[ok], "tas": np.asarray(tas)[:-1][ok], "km": np.asarray(km)[ok], "ok": ok, "t": np.asarray(t)[:-1][ok]} if ok.sum() >= 10 else None
 
 
 def burned(model, s: dict[str, np.ndarray], load: float = LOAD, reserve: float = RESERVE_KG, passes: int = 4) -> np.ndarray:
@@ -121,10 +122,21 @@ def effective_wind(along_ms: np.ndarray, tas_ms: float) -> float:
     return float(w.mean()) if (ground <= 1).any() else float(len(w) / (1 / ground).sum() - tas_ms)
 
 
-def cruise_state(alt, tas, vs) -> tuple[float, float] | None:
-    """Median altitude and airspeed of the level points near the top; None below ten."""
-    level = (alt >= 0.85 * np.nanmax(alt)) & (np.abs(vs) < 300) & np.isfinite(tas)
-    return (float(np.median(alt[level])), float(np.median(tas[level]))) if level.sum() >= 10 else None
+#: Fixed values of the cruise: share of the top, climb in ft a minute, points.
+NEAR_TOP, LEVEL_FPM, LEVEL_POINTS = 0.85, 300.0, 10
+
+
+def cruise_state(alt, ias, vs) -> tuple[float, float] | None:
+    """Median altitude of the level points near the top, and the true airspeed of their median indicated one at that altitude (NaN where
+    none has one); None below ten points."""
+    alt, ias = np.asarray(alt, float), np.asarray(ias, float)
+    if not np.isfinite(alt).any():
+        return None
+    level = (alt >= NEAR_TOP * np.nanmax(alt)) & (np.abs(vs) < LEVEL_FPM)
+    if level.sum() < LEVEL_POINTS:
+        return None
+    top, known = float(np.median(alt[level])), ias[level][np.isfinite(ias[level])]
+    return top, float(cas_to_tas_kt(np.median(known), top)) if len(known) else math.nan
 
 
 def enroute(lat, lon) -> tuple[float, float]:
@@ -138,26 +150,89 @@ def enroute(lat, lon) -> tuple[float, float]:
     return (flown / gc, flown) if gc > 0 else (math.nan, math.nan)
 
 
-COLUMNS = "gc_km double, flown_km double, real_kg double, hybrid_kg double, ideal_kg double, total double, lateral double, vertical double, vert_alt double, vert_speed double, vert_rest double, ratio_enroute double, cruise_alt_ft double"
+COLUMNS = "gc_km double, flown_km double, real_kg double, hybrid_kg double, ideal_kg double, total double, lateral double, vertical double, vert_alt double, vert_speed double, vert_rest double, ratio_enroute double, cruise_alt_ft double, wind_gc_ms double, wind_track_ms double"
+
+
+def gc_places(lat1: float, lon1: float, lat2: float, lon2: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n places on the great circle, both ends included."""
+    p1, l1, p2, l2 = np.radians([lat1, lon1, lat2, lon2])
+    d = float(haversine(lat1, lon1, lat2, lon2)) / EARTH_KM
+    if d < 1e-12:
+        return np.array([lat1]), np.array([lon1])
+    f = np.linspace(0, 1, n)
+    a, b = np.sin((1 - f) * d) / np.sin(d), np.sin(f * d) / np.sin(d)
+    x, y, z = a * np.cos(p1) * np.cos(l1) + b * np.cos(p2) * np.cos(l2), a * np.cos(p1) * np.sin(l1) + b * np.cos(p2) * np.sin(l2), a * np.sin(p1) + b * np.sin(p2)
+    return np.degrees(np.arctan2(z, np.hypot(x, y))), np.degrees(np.arctan2(y, x))
+
+
+def equal_arcs(lat, lon, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n places at equal arc length along a path; its first place where it has no length."""
+    s = np.concatenate([[0.0], np.cumsum(haversine(lat[:-1], lon[:-1], lat[1:], lon[1:]))])
+    if s[-1] <= 0:
+        return np.asarray(lat)[:1], np.asarray(lon)[:1]
+    at = np.linspace(0, s[-1], n)
+    return np.interp(at, s, lat), np.interp(at, s, lon)
+
+
+def bearings(lat, lon) -> np.ndarray:
+    p, q, d = np.radians(lat[:-1]), np.radians(lat[1:]), np.radians(np.diff(lon))
+    return np.degrees(np.arctan2(np.sin(d) * np.cos(q), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(d))) % 360
+
+
+#: Samples of a path's wind, and the airspeed (m/s) that weighs the parts of a flown path.
+WIND_SAMPLES, REFERENCE_MS = 24, 230.0
+
+
+def _component(wind, lat, lon, t, alt_ft, bearing) -> np.ndarray:
+    u, v = wind(lat, lon, t, np.full(len(lat), alt_ft))
+    b = np.radians(bearing)
+    return np.asarray(u, float) * np.sin(b) + np.asarray(v, float) * np.cos(b)
+
+
+def wind_on_great_circle(wind, model, ends, start: float, km: float, alt_ft: float) -> float:
+    """The effective wind (m/s) at WIND_SAMPLES places of the great circle, weighed by the cruise airspeed."""
+    lat, lon = gc_places(*ends, WIND_SAMPLES)
+    if len(lat) < 2:
+        return 0.0
+    b = bearings(lat, lon)
+    tas = cruise_tas(model, alt_ft)
+    t = start + np.linspace(0, 1, len(lat)) * km / (tas * 1.852) * 3600
+    return effective_wind(_component(wind, lat, lon, t, alt_ft, np.append(b, b[-1])), tas * KT)
+
+
+def wind_on_track(wind, lat, lon, start: float, seconds: float, alt_ft: float) -> float:
+    """The effective wind (m/s) at the middles of equal arcs of the flown path: by length, not by time, as slow parts have more points."""
+    a, o = equal_arcs(lat, lon, WIND_SAMPLES)
+    if len(a) < 2:
+        return 0.0
+    part = (np.arange(len(a) - 1) + 0.5) / (len(a) - 1)
+    return effective_wind(_component(wind, (a[:-1] + a[1:]) / 2, (o[:-1] + o[1:]) / 2, start + part * seconds, alt_ft, bearings(a, o)), REFERENCE_MS)
 
 
 def split(model, t, lat, lon, alt, gs, ias, wind=None) -> dict[str, float] | None:
-    """One flight's excess: ideal on the great circle, hybrid on the flown length at the same altitude, real; and the vertical part by altitude, speed and rest."""
+    """One flight's excess: ideal on the great circle in its wind, hybrid on the flown length at the same altitude in the flown path's wind, real;
+    and the vertical part by altitude, speed and rest. wind(lat, lon, t, alt_ft) gives arrays u and v in m/s."""
     km = haversine(lat[:-1], lon[:-1], lat[1:], lon[1:])
     tas = np.where(np.nan_to_num(ias) > 40, cas_to_tas_kt(np.nan_to_num(ias), np.nan_to_num(alt)), gs)
     s, gc, flown = steps(t, alt, tas, km), float(haversine(lat[0], lon[0], lat[-1], lon[-1])), float(km.sum())
     if s is None or gc <= 0:
         return None
     real, level = float(burned(model, s).sum()), best_altitude(model, gc)
-    blow = lambda a: effective_wind(wind(lat, lon, t, a), cruise_tas(model, a) * KT) if wind else 0.0
-    ideal, hybrid = ideal_kg(model, gc, level, blow(level)), ideal_kg(model, flown, level, blow(level))
-    out = {"gc_km": gc, "flown_km": flown, "real_kg": real, "hybrid_kg": hybrid, "ideal_kg": ideal, "total": (real - ideal) / ideal * 100, "lateral": (hybrid - ideal) / ideal * 100, "vertical": (real - hybrid) / ideal * 100, "cruise_alt_ft": level}
+    ends = (lat[0], lon[0], lat[-1], lon[-1])
+    straight = wind_on_great_circle(wind, model, ends, t[0], gc, level) if wind else 0.0
+    flown_in = (lambda a: wind_on_track(wind, lat, lon, t[0], t[-1] - t[0], a)) if wind else (lambda a: 0.0)
+    bent = flown_in(level)
+    ideal, hybrid = ideal_kg(model, gc, level, straight), ideal_kg(model, flown, level, bent)
+    if not 0 < ideal < math.inf:
+        return None
+    out = {"gc_km": gc, "flown_km": flown, "real_kg": real, "hybrid_kg": hybrid, "ideal_kg": ideal, "total": (real - ideal) / ideal * 100, "lateral": (hybrid - ideal) / ideal * 100, "vertical": (real - hybrid) / ideal * 100, "cruise_alt_ft": level, "wind_gc_ms": straight, "wind_track_ms": bent}
     vs = np.gradient(np.nan_to_num(alt), t) * 60
-    if (state := cruise_state(np.nan_to_num(alt), tas, vs)) and state[1] > 50:
-        mach = state[1] / float(air(state[0])[1])
-        out["vert_alt"] = (ideal_kg(model, flown, state[0], blow(state[0])) - hybrid) / ideal * 100
-        out["vert_speed"] = (ideal_kg(model, flown, level, blow(level), mach * float(air(level)[1])) - hybrid) / ideal * 100
-        out["vert_rest"] = out["vertical"] - out["vert_alt"] - out["vert_speed"]
+    if state := cruise_state(alt, ias, vs):
+        out["vert_alt"] = (ideal_kg(model, flown, state[0], flown_in(state[0])) - hybrid) / ideal * 100
+        if state[1] > 50:
+            mach = state[1] / float(air(state[0])[1])
+            out["vert_speed"] = (ideal_kg(model, flown, level, bent, mach * float(air(level)[1])) - hybrid) / ideal * 100
+            out["vert_rest"] = out["vertical"] - out["vert_alt"] - out["vert_speed"]
     out["ratio_enroute"] = enroute(lat, lon)[0]
     return out
 
@@ -177,3 +252,52 @@ def decomposed(points: DataFrame, keys: list[str], models: dict[str, PerfModel]
     kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in [*keys, "typecode"])
     out = known.groupBy(*keys).applyInPandas(run, f"{kinds}, {COLUMNS}")
     return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+
+
+STEP_COLUMNS = "i int, t double, dt double, alt double, vs double, tas double, km double, burn double"
+
+
+def step_table(points: DataFrame, keys: list[str], models: dict[str, PerfModel] | None = None, load: float = LOAD, reserve: float = RESERVE_KG) -> DataFrame:
+    """keys, typecode and each usable step of each flight with its consumption, in order (i). Flights with fewer than ten such steps, or of types without a model, go."""
+    models = models or {"": PerfModel()}
+    names = [c.split()[0] for c in STEP_COLUMNS.split(", ")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["t"], kind="stable")
+        t, lat, lon, alt, gs, ias = (frame[c].to_numpy(float) for c in ("t", "lat", "lon", "alt", "gs", "ias"))
+        tas = np.where(np.nan_to_num(ias) > 40, cas_to_tas_kt(np.nan_to_num(ias), np.nan_to_num(alt)), gs)
+        s = steps(t, alt, tas, haversine(lat[:-1], lon[:-1], lat[1:], lon[1:])) if len(t) > 10 else None
+        if s is None:
+            return pd.DataFrame(columns=[*keys, "typecode", *names])
+        burn = burned(models[frame["typecode"].iloc[0] if "" not in models else ""], s, load, reserve)
+        out = pd.DataFrame({"i": np.arange(len(burn), dtype=np.int32), "t": s["t"], "dt": s["dt"], "alt": s["alt"], "vs": s["vs"], "tas": s["tas"], "km": s["km"], "burn": burn})
+        for k in ("typecode", *keys[::-1]):
+            out.insert(0, k, frame[k].iloc[0])
+        return out[[*keys, "typecode", *names]]
+
+    known = points if "" in models else points.where(F.col("typecode").isin(list(models)))
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in [*keys, "typecode"])
+    return known.groupBy(*keys).applyInPandas(run, f"{kinds}, {STEP_COLUMNS}")
+
+
+def excess_without_wind(model, t, lat, lon, alt, gs, ias) -> dict[str, float] | None:
+    """A flight's excess over the still-air ideal, and its detour, in percent."""
+    km = haversine(lat[:-1], lon[:-1], lat[1:], lon[1:])
+    tas = np.where(np.nan_to_num(ias) > 40, cas_to_tas_kt(np.nan_to_num(ias), np.nan_to_num(alt)), gs)
+    s, gc = steps(t, alt, tas, km), float(haversine(lat[0], lon[0], lat[-1], lon[-1]))
+    if s is None or gc <= 0:
+        return None
+    real, ideal = float(burned(model, s).sum()), ideal_kg(model, gc, best_altitude(model, gc))
+    return {"real_co2_kg": real * CO2, "ideal_co2_kg": ideal * CO2, "excess_pct": (real - ideal) / ideal * 100, "detour_pct": (float(km.sum()) - gc) / gc * 100}
+
+
+def burned_one_by_one(model, s: dict[str, np.ndarray], load: float = LOAD, reserve: float = RESERVE_KG, passes: int = 3) -> float:
+    """The integrator step by step, with the mass of the moment: what burned() is checked against."""
+    start, total = model.oew + load * model.pax_max * PAX_KG + reserve, 0.25 * (model.mtow - model.oew)
+    for _ in range(passes):
+        mass, used = min(start + total, model.mtow), 0.0
+        for dt, alt, vs, tas in zip(s["dt"], s["alt"], s["vs"], s["tas"], strict=True):
+            rate = float(model.flow(max(mass - used, model.oew), tas, alt, vs))
+            used += rate * dt if math.isfinite(rate) and rate > 0 else 0.0
+        total = used
+    return total
