@@ -30,10 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of a row group of settled files: what one task can read, however few files there are.
+ROW_GROUP = 16 << 20
+
+
 def settled(df: DataFrame, label: str = "step") -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/waymark-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,23 +52,43 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
 
 def slim(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """Only the columns an operator needs, the text never null; other columns, whatever their names, stay behind."""
-    return docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, key (a 64-bit hash of the text) and text, never null: what finds a row's text again where ids are null or repeat."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+#: Bounds of an Arrow batch: texts can be long, and a few hundred of them are enough to keep a worker busy.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose session gives Python workers batches of bounded rows and bytes. A bound that the user has set stays."""
+    for name, default, most in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        conf, key = df.sparkSession.conf, f"spark.sql.execution.arrow.{name}"
+        if conf.get(key, default) in (default, None, "-1") or key.endswith("Bytes") and int(conf.get(key)) > most:
+            conf.set(key, str(most))
+    return df
+
+
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df (settled), marked for broadcast if it has at most so many rows; otherwise the join is left to the optimizer."""
+    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).collect()) <= most else df
 
 
 def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     """mapInArrow, where make() is called once in each task and gives the function from batch to batches."""
 
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # texts can be long
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -169,8 +169,8 @@ def judged(rows: DataFrame, key: Column, min_words: int = 10, max_repeat: int =
         low, high = F.col(name) < F.col(f"q1_{name}") - wide * F.col(f"d_{name}"), F.col(name) > F.col(f"q3_{name}") + wide * F.col(f"d_{name}")
         outside.append(F.when(F.coalesce(high | low if name != "m_bytes" else high, F.lit(False)), name))
     named = rows.withColumn("__key", key)
-    limits = bands(rows, key).withColumnRenamed("key", "__key")
-    out = named.join(limits, named["__key"].eqNullSafe(limits["__key"]), "left").drop(limits["__key"])
+    limits = common.small(common.settled(bands(rows, key).withColumnRenamed("key", "__band"), "bands"))
+    out = named.join(limits, F.col("__key").eqNullSafe(F.col("__band")), "left")
     out = out.withColumn("base_failed", failed).withColumn("reason", F.when(failed, "base").otherwise(F.coalesce(*outside)))
     return out.withColumn("kept", F.col("reason").isNull()).select(*rows.columns, "base_failed", "kept", "reason")
 
