@@ -34,10 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
 ROW_GROUP = 16 << 20
 
 
-def settled(df: DataFrame, label: str = "step") -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
+def settled(df: DataFrame, label: str = "step", group_rows: int | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors. group_rows: rows of a row group at
+    most, for rows of megabytes."""
     path = f"{shared_dir(df.sparkSession)}/waymark-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    (writer.option("parquet.block.row.count.limit", group_rows) if group_rows else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,35 +1,45 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-The vocabulary's HEAD commonest training tokens are put into classes of about equal frequency rank, WIDTH to a class; all others are in
-one tail class. The probability of a token is that of its class, given features of the two tokens before it, times that of the token
-in its class: for head classes a second softmax over the same features, for the tail the smoothed share of the token's count. Features are
-hashed rows of weights: the token before, the token before that (a skip), and the two together. Weights start at the logarithms of
-the classes' and tokens' counts, and are trained by distributed gradient updates: in each of ROUNDS rounds every task sums the gradient of
-all positions of all its training texts, the sums are added in a tree, and one adaptive step is taken. Texts are scored in batches of
-sparse features in numpy.
-
-Counts are of all training texts, exact, and by a 64-bit hash of the token. The head is at most HEAD tokens, whatever the corpus; what a text has
-of tail tokens goes through a join with the counts by hash, in which a text's equal tokens are one row, and tokens common enough to be
-hot are in the head.
+The VOCAB commonest training tokens, and one tail class for all others, are the leaves of a tree of classes with WAYS children each,
+built from the counts (a Huffman tree, so that common tokens have few factors). The probability of a token is the product of a softmax
+at each class on its path, over the class's children; in the tail it is the smoothed share of the token's count. Features of a softmax
+are hashed rows of weights, by the class and the token before, the class and the token before that (a skip), and the class and both;
+context tokens outside the vocabulary are one. Without features a softmax is that of the counts.
+
+Training is by distributed gradient updates: in each of EPOCHS every task takes adaptive steps over all positions of all its training
+texts, from the common weights; the tasks' changes are averaged row by row, each by how often the task has met the row, so that
+a row that one task has met moves as far as there. Averages are sums by slice, which stream.
+
+Texts are tokenised once, into chunks of about CHUNK tokens in shared storage: the distinct tokens' hashes, and their places by position.
+Counts are of all training texts, exact, by 64-bit hash. Texts are scored in batches of sparse features in numpy; counts of tokens
+outside the vocabulary come from a join by hash of each chunk's distinct ones. What a task holds is a chunk and the model,
+whatever the corpus; nothing but the vocabulary and the weights reaches the driver.
 
 Defined results: a null or empty text is one token, the end. Texts of any length are scored whole. Equal texts have equal scores. With no training
-texts N and V are 0 and the base score of a token is log10(0.5 / 0.5). Other columns are not read.
+texts N and V are 0 and the base score of a token is log10(0.5 / 0.5). Null ids and repeated rows are rows of their own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import common
 from waymark.llm.toxicity import remainder
 
-WIDTH, CLASSES, BUCKETS, ROUNDS, RATE = 32, 31, 1 << 12, 4, 0.5
-HEAD, COUNTED = WIDTH * CLASSES, 20_000
-MEMO, ROWS, CHUNK = 600_000, 20_000, 1_000_000
+#: Children of a class; tokens in the tree; rows of weights by token before, by the one before that, and by both.
+WAYS, VOCAB, ROWS = 16, 65_535, (1 << 17, 1 << 16, 1 << 18)
+EPOCHS, RATE, START, BATCH = 1, 1.0, 0.5, 1 << 14
+#: Tokens of a chunk; rows of a slice of the weights; training tasks a core.
+CHUNK, SLICE, TASKS = 1 << 19, 1 << 14, 2
+MEMO = 600_000
 END = b"\n"
+_ODD, _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
 
 
 class Tokens:
@@ -52,219 +62,304 @@ class Tokens:
         return out
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """h, c: how often each token stands in the texts of df (column text)."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
+    """Chunks of texts (settled): chunk, ids, train, lens (int32 each), hashes (uint64, distinct, sorted), codes (int32, a place in hashes for each
+    position), counts (int32, how often each stands in training texts). A text is whole in its chunk."""
+    df = common.slim(docs.withColumn("__train", F.coalesce(train, F.lit(False))), text_col, id_col, "__train")
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["chunk", "ids", "train", "lens", "hashes", "codes", "counts"]
 
     def run(batches):
-        tokens, held, total = Tokens(), [], 0
-
-        def summed():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
+        tokens, base, k = Tokens(), TaskContext.get().partitionId() << 32, 0
+        ids, flags, held, total = [], [], [], 0
+
+        def row():
+            lens = np.array([len(h) for h in held], np.int32)
+            train_at = np.concatenate(flags)
+            hashes, codes = np.unique(np.concatenate(held), return_inverse=True)
+            counts = np.bincount(codes[np.repeat(train_at, lens)], minlength=len(hashes)).astype(np.int32)
+            every = pa.concat_arrays(ids)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            raw = lambda x: pa.array([x.tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([base + k]), lists(every), lists(pa.array(train_at)), raw(lens), raw(hashes), raw(codes.astype(np.int32)), raw(counts)], names)
 
         for batch in batches:
             for part in common.pieces(batch):
-                for text in part.column("text").to_pylist():
+                first, texts = 0, part.column("text").to_pylist()
+                for i, text in enumerate(texts):
                     held.append(tokens(text))
                     total += len(held[-1])
-                if total > CHUNK:
-                    yield summed()
-                    held, total = [], 0
+                    if total >= CHUNK or i == len(texts) - 1:
+                        ids.append(part.column(id_col).slice(first, i + 1 - first))
+                        flags.append(part.column("__train").slice(first, i + 1 - first).to_numpy(zero_copy_only=False).astype(bool))
+                        first = i + 1
+                    if total >= CHUNK:
+                        yield row()
+                        ids, flags, held, total, k = [], [], [], 0, k + 1
         if held:
-            yield summed()
+            yield row()
+
+    return common.settled(common.bounded(df).mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, hashes binary, codes binary, counts binary"), "chunks", 8)
 
-    return df.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
+def counted(chunks: DataFrame) -> DataFrame:
+    """h, c: how often each token stands in training texts."""
 
-def scattered(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds each of rows to the row of total that at names; equal ones are summed first, which is faster than np.add.at."""
-    if len(at):
-        order = np.argsort(at.astype(np.int16) if len(total) < 1 << 15 else at, kind="stable")
-        at = at[order]
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        total[at[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+    def run(batches):
+        for batch in batches:
+            for raw, times in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n = np.frombuffer(times, np.int32)
+                met = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64)[met]), pa.array(n[met].astype(np.int64))], ["h", "c"])
+
+    return chunks.select("hashes", "counts").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A WAYS-ary Huffman tree of leaves with these masses: the path of each leaf from the root (classes, -1 beyond its end; slots), its depth,
+    and the logarithms of the masses of each class's children (-1e9: no child)."""
+    n = len(mass)
+    short = -(n - 1) % (WAYS - 1)
+    heap = [(float(m), i) for i, m in enumerate(mass)] + [(0.0, -1)] * short
+    heapq.heapify(heap)
+    children, weights = [], []
+    while len(heap) > 1 or not children:
+        low = [heapq.heappop(heap) for _ in range(min(WAYS, len(heap)))]
+        children.append([i for _, i in low])
+        weights.append([m for m, _ in low])
+        heapq.heappush(heap, (sum(weights[-1]), n + len(children) - 1))
+    prior = np.full((len(children), WAYS), -1e9, np.float32)
+    up, slot = np.full(n + len(children), -1), np.zeros(n + len(children), np.int64)
+    for c, (kids, own) in enumerate(zip(children, weights, strict=True)):
+        for s, (kid, m) in enumerate(zip(kids, own, strict=True)):
+            if kid >= 0:
+                up[kid], slot[kid], prior[c, s] = c, s, np.log(max(m, 1e-9))
+    at, paths = np.arange(n), []
+    while (at >= 0).any():
+        above = np.where(at >= 0, up[at], -1)
+        paths.append((above, np.where(at >= 0, slot[at], 0)))
+        at = np.where(above >= 0, above + n, -1)
+    depth = sum((c >= 0).astype(np.int64) for c, _ in paths)
+    longest = int(depth.max())
+    classes, slots = np.full((n, longest), -1, np.int32), np.zeros((n, longest), np.int8)
+    for k in range(longest):  # from the root down
+        from_leaf = depth - 1 - k
+        for j, (c, s) in enumerate(paths):
+            here = from_leaf == j
+            classes[here, k], slots[here, k] = c[here], s[here]
+    prior -= np.log(np.exp(prior).sum(1, keepdims=True))
+    return classes, slots, depth, prior
+
+
+_ONES, _ROW = np.ones(WAYS, np.float32), np.dtype((np.void, 4 * WAYS))
+
+
+def _summed(x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the rows of x with equal numbers (row, sorted), the numbers, and how many each had. Those that stand alone, most of them, are not summed."""
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    starts = np.flatnonzero(first)
+    times = np.diff(starts, append=len(row))
+    out, several = x.take(starts, 0), times > 1
+    if several.any():
+        inside = np.repeat(several, times)
+        many = times[several]
+        out[several] = np.add.reduceat(x[inside], np.cumsum(many) - many, 0)
+    return out, row[starts], times
 
 
 class Model:
-    """Weights, and what tells a token's class: the head's hashes, sorted, with their places in order of frequency."""
+    """Weights, the vocabulary's hashes (sorted) with their leaves, and the tree. Leaf 0 is the tail."""
 
-    def __init__(self, head: list[tuple[int, int]], total: int, distinct: int):
+    def __init__(self, vocab: list[tuple[int, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
-        order = np.argsort(np.array([h % 2**64 for h, _ in head], np.uint64))
-        self.hashes = np.array([h % 2**64 for h, _ in head], np.uint64)[order]
-        self.places, counts = order, np.array([c for _, c in head], np.float64)
-        self.classes = -(-min(len(head), HEAD) // WIDTH) + 1
-        self.counts = counts
-        n = min(len(head), HEAD)
-        self.tail_total = total - counts[:n].sum() + 0.5 * (distinct - n + 1)
-        self.wc = np.zeros((3 * BUCKETS + 1, self.classes), np.float32)
-        self.ww = np.zeros((3 * BUCKETS + 1, WIDTH), np.float32)
-        self.prior = np.full((self.classes, WIDTH), -1e9, np.float32)
-        self.prior.ravel()[:n] = np.log(counts[:n] + 0.5)
-        mass = np.array([*(np.exp(row[row > -1e8]).sum() for row in self.prior[:-1]), self.tail_total], np.float64)
-        self.wc[-1] = np.log(np.maximum(mass, 0.5) / np.maximum(mass.sum(), 1))
-
-    def place(self, h: np.ndarray) -> np.ndarray:
-        """Place in the counted list, or -1."""
+        hashes, counts = np.array([h % 2**64 for h, _ in vocab], np.uint64), np.array([c for _, c in vocab], np.float64)
+        self.tail_total = total - counts.sum() + 0.5 * (distinct - len(vocab) + 1)
+        order = np.argsort(hashes)
+        self.hashes, self.leaves = hashes[order], (order + 1).astype(np.int32)
+        self.counts = np.concatenate([[0], counts])
+        self.classes, self.slots, self.depth, self.prior = tree(np.concatenate([[self.tail_total], counts + 0.5]))
+        rng = np.random.default_rng(7)
+        self.stir = rng.integers(0, 2**32, len(self.prior), np.uint32)
+        self.symbol = rng.integers(0, 2**32, len(vocab) + 2, np.uint32)  # of a leaf as context; the last: before the text
+        self.weights = [np.zeros((n, WAYS), np.float32) for n in ROWS]
+
+    def leaf(self, h: np.ndarray) -> np.ndarray:
+        """The leaf of each hash: 0 outside the vocabulary."""
         if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
+            return np.zeros(len(h), np.int32)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.places[at], -1)
-
-    def features(self, h: np.ndarray) -> np.ndarray:
-        """Three rows of weights for each position of a text: by the token before, the one before that, and both."""
-        one = np.concatenate([[np.uint64(1)], h[:-1]])[: len(h)]
-        two = np.concatenate([np.array([2, 1], np.uint64), h[:-2]])[: len(h)]
-        mix = lambda x: ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-        return np.stack([mix(one), BUCKETS + mix(two * np.uint64(3)), 2 * BUCKETS + mix(one * np.uint64(0xC2B2AE3D27D4EB4F) + two)], 1)
-
-    def parts(self, f: np.ndarray, place: np.ndarray):
-        """Of positions with features f: probabilities of classes, of words in the head class that each has, and their class and slot."""
-        head = (place >= 0) & (place < HEAD)
-        cls = np.where(head, place // WIDTH, self.classes - 1)
-        slot = np.where(head, place % WIDTH, 0)
-        a = self.wc[f[:, 0]] + self.wc[f[:, 1]] + self.wc[f[:, 2]] + self.wc[-1]
-        a = np.exp(a - a.max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        g = f[head]
-        b = self.ww[g[:, 0]] + self.ww[g[:, 1]] + self.ww[g[:, 2]] + self.prior[cls[head]]
-        b = np.exp(b - b.max(1, keepdims=True))
-        b /= b.sum(1, keepdims=True)
-        return a, b, head, cls, slot
-
-    def logs(self, h: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 of each position's probability; in the tail, of the tail class alone."""
-        out = np.empty(len(h))
-        f = self.features(h)
-        for i in range(0, len(h), ROWS):
-            a, b, head, cls, slot = self.parts(f[i : i + ROWS], place[i : i + ROWS])
-            p = a[np.arange(len(cls)), cls].astype(np.float64)
-            p[head] *= b[np.arange(len(b)), slot[head]]
-            out[i : i + ROWS] = np.log10(np.maximum(p, 1e-300))
+        return np.where(self.hashes[at] == h, self.leaves[at], 0)
+
+    def contexts(self, leaf: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Three context hashes of each position of texts that stand one after the other: of the leaf before, the one before that, and both."""
+        own, starts = self.symbol[leaf], np.concatenate([[0], np.cumsum(lens)[:-1]])
+        one, two = np.empty_like(own), np.empty_like(own)
+        one[1:], two[2:] = own[:-1], own[:-2]
+        one[starts] = two[starts] = two[(starts + 1)[lens > 1]] = self.symbol[-1]
+        return one * _K1, two * _K2, (one + (two * _ODD ^ two >> np.uint32(15))) * _K3
+
+    def _factor(self, ctx, node):
+        rows = []
+        for c, w in zip(ctx, self.weights, strict=True):
+            x = (c ^ self.stir[node]) * _ODD
+            rows.append((x ^ x >> np.uint32(13)) * _K2 >> np.uint32(33 - len(w).bit_length()))
+        z = self.prior.take(node, 0)
+        for w, r in zip(self.weights, rows, strict=True):
+            z += w.take(r, 0)
+        np.minimum(z, 80, out=z)  # priors are logarithms of shares, so sums are about 0 at most; the bound guards the exponential
+        np.exp(z, out=z)
+        z *= (1 / (z @ _ONES + np.float32(1e-30)))[:, None]
+        return z, rows
+
+    def logs(self, leaf: np.ndarray, ctx: tuple[np.ndarray, ...]) -> np.ndarray:
+        """log10 of the probability of each position's leaf."""
+        out = np.zeros(len(leaf))
+        for i in range(0, len(leaf), BATCH):
+            own, sub = leaf[i : i + BATCH], [c[i : i + BATCH] for c in ctx]
+            p, depth = np.ones(len(own)), self.depth[own]
+            for k in range(int(depth.max())):
+                sel = np.flatnonzero(depth > k)
+                z, _ = self._factor([c[sel] for c in sub], self.classes[own[sel], k])
+                p[sel] *= z[np.arange(len(sel)), self.slots[own[sel], k]]
+            out[i : i + BATCH] = np.log10(np.maximum(p, 1e-300))
         return out
 
-    def gradient(self, f: np.ndarray, place: np.ndarray, gc: np.ndarray, gw: np.ndarray) -> None:
-        """Adds the log-likelihood's gradient at these positions."""
-        a, b, head, cls, slot = self.parts(f, place)
-        a = -a
-        a[np.arange(len(cls)), cls] += 1
-        b = -b
-        b[np.arange(len(b)), slot[head]] += 1
-        for j in range(3):
-            scattered(gc, f[:, j], a)
-            scattered(gw, f[head, j], b)
-        gc[-1] += a.sum(0)
-
-
-def trained(df: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Adaptive steps, each on all positions of all texts of df (column text). A task returns one sum of fixed size; sums are added in a tree."""
-    spark = df.sparkSession
-    squares = [np.full_like(w, 1e-6) for w in (model.wc, model.ww)]
-    for _ in range(rounds):
+    def learn(self, leaf: np.ndarray, ctx: tuple[np.ndarray, ...], squares: list[np.ndarray], met: list[np.ndarray], rate: float = RATE) -> None:
+        """Adaptive gradient steps over these positions, BATCH at a time. squares: sums of squared gradients by row; met: positions by row."""
+        for i in range(0, len(leaf), BATCH):
+            own, sub = leaf[i : i + BATCH], [c[i : i + BATCH] for c in ctx]
+            depth = self.depth[own]
+            for k in range(int(depth.max())):
+                sel = np.flatnonzero(depth > k)
+                at = own[sel]
+                z, rows = self._factor([c[sel] for c in sub], self.classes[at, k])
+                np.negative(z, out=z)
+                z[np.arange(len(sel)), self.slots[at, k]] += 1
+                for w, s, m, r in zip(self.weights, squares, met, rows, strict=True):
+                    key = np.sort(r << np.uint32(14) | np.arange(len(r), dtype=np.uint32))  # row and place in one number: BATCH is 1 << 14, rows at most 1 << 18
+                    g, r, times = _summed(z.take(key & np.uint32(BATCH - 1), 0), key >> np.uint32(14))
+                    m[r] += times
+                    total = s.take(r) + np.einsum("ij,ij->i", g, g)
+                    s[r] = total
+                    g *= (rate / np.sqrt(total + START))[:, None]
+                    g += w.take(r, 0)
+                    w.view(_ROW).ravel()[r] = g.view(_ROW).ravel()
+
+
+def _positions(model: Model, batch: pa.RecordBatch):
+    """Of each chunk of a batch: its row, lens, leaf of each position, context hashes."""
+    for i in range(batch.num_rows):
+        row = {c: batch.column(c)[i] for c in batch.schema.names}
+        lens = np.frombuffer(row["lens"].as_buffer(), np.int32)
+        leaf = model.leaf(np.frombuffer(row["hashes"].as_buffer(), np.uint64))[np.frombuffer(row["codes"].as_buffer(), np.int32)]
+        yield row, lens, leaf, model.contexts(leaf, lens)
+
+
+def trained(chunks: DataFrame, model: Model, epochs: int = EPOCHS, rate: float = RATE) -> Model:
+    """The model after epochs over every position of every training text of chunks."""
+    spark = chunks.sparkSession
+    slices = [(j, a) for j, n in enumerate(ROWS) for a in range(0, n, SLICE)]
+    for _ in range(epochs):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches, sent=sent):
-            own, tokens, n = sent.value, Tokens(), 0
-            sums = [np.zeros_like(own.wc), np.zeros_like(own.ww)]
+            own = None
             for batch in batches:
-                for part in common.pieces(batch):
-                    fs, places = [], []
-                    for text in part.column("text").to_pylist():
-                        h = tokens(text)
-                        fs.append(own.features(h))
-                        places.append(own.place(h))
-                    f, place = np.concatenate(fs), np.concatenate(places)
-                    n += len(f)
-                    for i in range(0, len(f), ROWS):
-                        own.gradient(f[i : i + ROWS], place[i : i + ROWS], *sums)
-            if n:
-                flat = np.concatenate([x.ravel() for x in sums]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], ["g", "n", "sums"])
+                if own is None:
+                    own = Model.__new__(Model)
+                    own.__dict__.update(sent.value.__dict__)
+                    own.weights = [w.copy() for w in own.weights]
+                    squares, met = [np.zeros(n, np.float32) for n in ROWS], [np.zeros(n, np.float32) for n in ROWS]
+                for row, lens, leaf, ctx in _positions(own, batch):
+                    mask = np.repeat(np.array(row["train"].as_py(), bool), lens)
+                    own.learn(leaf[mask], tuple(c[mask] for c in ctx), squares, met, rate)
+            if own is not None:
+                for k, (j, a) in enumerate(slices):
+                    m = met[j][a : a + SLICE]
+                    change = (own.weights[j][a : a + SLICE] - sent.value.weights[j][a : a + SLICE]) * m[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], ["slice", "met", "change"])
 
         def add(batches):
-            n, total = 0, None
+            sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
-                for m, raw in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                    x = np.frombuffer(raw, np.float32)
-                    n, total = n + m, x.astype(np.float64) if total is None else total + x
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["g", "n", "sums"])
-
-        shape = "g long, n long, sums binary"
-        few = df.select("text").coalesce(4 * spark.sparkContext.defaultParallelism)  # sums follow the cores, not the corpus
-        sums = common.settled(few.mapInArrow(run, shape), "gradients")
-        written, tasks = sums, len(sums.inputFiles())
-        while tasks > 8:
-            tasks = -(-tasks // 8)
-            sums = sums.repartition(tasks).mapInArrow(add, shape)
-        rows = sums.coalesce(1).mapInArrow(add, shape).collect()
-        common.dropped(spark, written)
-        if not rows:
-            break
-        flat = np.frombuffer(bytes(rows[0]["sums"]), np.float32) / rows[0]["n"]
-        for w, s, g in ((model.wc, squares[0], flat[: model.wc.size].reshape(model.wc.shape)), (model.ww, squares[1], flat[model.wc.size :].reshape(model.ww.shape))):
-            s += g * g
-            w += RATE * g / np.sqrt(s + 1e-5)
+                for k, m, x in zip(*(batch.column(c).to_pylist() for c in ("slice", "met", "change")), strict=True):
+                    new = [np.frombuffer(m, np.float32).astype(np.float64), np.frombuffer(x, np.float32).astype(np.float64)]
+                    sums[k] = [a + b for a, b in zip(sums[k], new, strict=True)] if k in sums else new
+            for k, (m, x) in sums.items():
+                mean = (x.reshape(-1, WAYS) / np.maximum(m, 1)[:, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([mean.tobytes()], pa.binary())], ["slice", "mean"])
+
+        few = common.bounded(chunks.select("train", "lens", "hashes", "codes").coalesce(TASKS * spark.sparkContext.defaultParallelism))
+        changes = common.settled(few.mapInArrow(run, "slice long, met binary, change binary"), "changes", 8)
+        for r in changes.repartition(len(slices), "slice").mapInArrow(add, "slice long, mean binary").collect():
+            j, a = slices[r["slice"]]
+            model.weights[j][a : a + SLICE] += np.frombuffer(bytes(r["mean"]), np.float32).reshape(-1, WAYS)
+        common.dropped(spark, changes)
     return model
 
 
-def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """The counts (h, c; settled) of the training texts docs, and the trained model."""
-    df = common.slim(docs, text_col)
-    counts = common.settled(counted(df), "counts")
+def fitted(chunks: DataFrame, epochs: int = EPOCHS) -> tuple[DataFrame, Model]:
+    """The counts (h, c; settled) of the training texts of chunks, and the trained model."""
+    counts = common.settled(counted(chunks), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    top = counts.orderBy(F.desc("c"), "h").limit(COUNTED).collect()
-    model = Model([(r["h"], r["c"]) for r in top], total["n"] or 0, total["v"])
-    return counts, trained(df, model)
+    top = counts.orderBy(F.desc("c"), "h").limit(VOCAB).collect()
+    return counts, trained(chunks, Model([(r["h"], r["c"]) for r in top], total["n"] or 0, total["v"]), epochs)
 
 
-def scored(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score and score for each row of docs."""
-    df = common.slim(docs, text_col, id_col).withColumn("row", F.monotonically_increasing_id())
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    unit = np.log10(model.total + 0.5 * (model.distinct + 1))
-
-    def make():
-        own, tokens = sent.value, Tokens()
+def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id_col, train, n_tokens, n_known, train_tokens, base_score and score of each text of chunks."""
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
+    sent = chunks.sparkSession.sparkContext.broadcast(model)
+    unit, tail_unit = np.log10(model.total + 0.5 * (model.distinct + 1)), np.log10(model.tail_total)
 
-        def step(batch: pa.RecordBatch):
-            for part in common.pieces(batch):
-                rows = []
-                texts = [tokens(t) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([len(h) for h in texts])
-                every = np.concatenate(texts)
-                place = own.place(every)
-                for i, (h, end) in enumerate(zip(texts, ends.tolist(), strict=True)):
-                    at = place[end - len(h) : end]
-                    known = at >= 0
-                    head = at[(at >= 0) & (at < HEAD)]
-                    mid = at[at >= HEAD]
-                    score = own.logs(h, at).sum()
-                    tail = np.log10(own.counts[mid] + 0.5).sum()
-                    base = np.log10(own.counts[head] + 0.5).sum() + tail
-                    rare, times = np.unique(h[~known], return_counts=True)
-                    rows.append((len(h), int(known.sum()), len(h) - len(head), base, score + tail, rare.view(np.int64), times))
-                n, known, in_tail, base, score, rare, times = zip(*rows, strict=True)
+    def look(batches):
+        own = sent.value
+        for batch in batches:
+            for row, lens, leaf, ctx in _positions(own, batch):
+                text = np.repeat(np.arange(len(lens)), lens)
+                per = lambda x, text=text, n=len(lens): np.bincount(text, x, n)
+                tail = leaf == 0
+                score = per(own.logs(leaf, ctx)) - tail_unit * per(tail.astype(float))
+                base = per(np.where(tail, 0.0, np.log10(own.counts[leaf] + 0.5)))
+                code = np.frombuffer(row["codes"].as_buffer(), np.int32)[tail]
+                seen, place = np.unique(code, return_inverse=True)
+                rare = np.frombuffer(row["hashes"].as_buffer(), np.int64)[seen]
+                raw = lambda x: pa.array([x.tobytes()], pa.binary())
+                lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column(id_col), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(in_tail, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array([t.astype(np.int32) for t in times], pa.list_(pa.int32()))],
-                    ["row", id_col, "n_tokens", "known", "in_tail", "base", "part", "rare", "times"],
+                    [pa.array([row["chunk"].as_py()]), lists(row["ids"].values), lists(row["train"].values), raw(lens), raw(score), raw(base), raw(per((~tail).astype(float))), lists(pa.array(rare, pa.int64())), raw(text[tail].astype(np.int32)), raw(place.astype(np.int32))],
+                    ["chunk", "ids", "train", "lens", "score", "base", "known", "rare", "text", "place"],
                 )
 
-        return step
+    rows = common.settled(common.bounded(chunks).mapInArrow(look, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, score binary, base binary, known binary, rare array<long>, text binary, place binary"), "scored", 8)
+    each = rows.select("chunk", F.posexplode("rare").alias("place", "h"))
+    met = each.join(counts, "h").groupBy("chunk").agg(F.collect_list("place").alias("at"), F.collect_list("c").alias("c"))
+    both = rows.select("*", F.size("rare").alias("n_rare")).drop("rare").join(met, "chunk", "left")
+
+    def sum_up(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                of = lambda c, k, row=row: np.frombuffer(row[c].as_buffer(), k)
+                n, times = of("lens", np.int32).astype(np.int64), np.zeros(row["n_rare"].as_py())
+                if row["at"].is_valid:
+                    times[row["at"].values.to_numpy()] = row["c"].values.to_numpy()
+                text, place = of("text", np.int32), of("place", np.int32)
+                logs = np.bincount(text, np.log10(times + 0.5)[place], len(n))
+                known = of("known", np.float64) + np.bincount(text, (times > 0)[place].astype(float), len(n))
+                yield pa.RecordBatch.from_arrays(
+                    [row["ids"].values, row["train"].values, pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model_total)), pa.array(of("base", np.float64) + logs - n * unit), pa.array(of("score", np.float64) + logs)],
+                    ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
-    rows = common.settled(common.arrow_map(df, make, f"row long, `{id_col}` {kind}, n_tokens long, known long, in_tail long, base double, part double, rare array<long>, times array<int>"), "scored")
-    each = rows.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    met = each.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
-    out = rows.drop("rare", "times").join(met, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    tail_unit = float(np.log10(max(model.tail_total, 0.5)))
-    return out.select(id_col, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + logs - F.col("n_tokens") * float(unit)).alias("base_score"), (F.col("part") + logs - F.col("in_tail") * tail_unit).alias("score"))
+    model_total = int(model.total)
+    out = common.bounded(both).mapInArrow(sum_up, f"id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns; rows whose id has remainder 1 of 5 are held out of training."""
-    held = remainder(F.col(id_col), 5) == 1
-    counts, model = fitted(docs.where(~F.coalesce(held, F.lit(False))), id_col, text_col)
-    rows = scored(docs, counts, model, id_col, text_col)
-    return rows.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), *[c for c in rows.columns if c != id_col])
+    held = F.coalesce(remainder(F.col(f"`{id_col}`"), 5) == 1, F.lit(False))
+    chunks = chunked(docs, id_col, text_col, ~held)
+    counts, model = fitted(chunks)
+    return scored(chunks, counts, model, id_col).select(id_col, (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
