@@ -8,7 +8,8 @@ WINDOW - STRIDE words, are scored, so that each passage of up to one word more t
 the calibration part of the sample stands at CUT.
 
 Training takes a bounded sample: of the labelled texts that may be learned from, at most CLASS_DOCS of each class, in the order of
-a hash of their id, and of each at most DOC_WINDOWS windows, evenly spaced among those at each LEARNED words. A toxic text's label holds for at least one of its
+a hash of their id, and of each at most DOC_WINDOWS windows, evenly spaced among those at each LEARNED words; an epoch takes EPOCH_ROWS windows
+of a class at most (or as many as the positive ones, if those are more), drawn anew each time. A toxic text's label holds for at least one of its
 windows: after a first pass over all, its highest windows are the positive ones. Everything is seeded; reruns agree.
 
 Defined results: a null or empty text is scored as one window of padding. Texts of any length are scored whole. Equal texts have
@@ -28,6 +29,7 @@ WINDOW, STRIDE, LEARNED, HIDDEN, ATTENTION = 48, 24, 36, 8, 8
 WORDS, SEEN, WORD_DIM, GRAMS, GRAM_DIM, PIECE = 4096, 8, 12, 512, 6, 32
 HEADS, STARTS, HEAD_DIM = (4, 5, 6, 7, 8), 24_000, 10
 CLASS_DOCS, DOC_WINDOWS, BATCH, EPOCHS, RATE, DECAY, CUT = 1500, 24, 256, 5, 0.01, 0.5, 0.3
+EPOCH_ROWS, LEAST_ROWS = 12_000, 4_000
 MEMO, BLOCK = 300_000, 4096
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -219,7 +221,7 @@ def trained(rows: list[tuple[object, int, list[bytes]]], seed: int = 7) -> Netwo
             np.maximum.at(top, doc_of, z)
             chosen &= (y == 0) | (z >= top[doc_of] - 1e-6) | (z > 0)
         pos, neg = np.flatnonzero(chosen & (y > 0)), np.flatnonzero(chosen & (y == 0))
-        n = max(len(pos), min(len(neg), 12_000), 4_000)  # small samples are gone over again
+        n = max(len(pos), min(len(neg), EPOCH_ROWS), LEAST_ROWS)  # small samples are gone over again
         order = np.concatenate([rng.permutation(np.resize(rng.permutation(pos), n)), rng.permutation(np.resize(rng.permutation(neg), n))])
         rng.shuffle(order)
         for i in range(0, len(order), BATCH):
