@@ -1,11 +1,15 @@
 """Personal data by boosted candidates, in DataFrame columns only.
 
 High-recall generators propose overlapping spans. Those of the base rules (an email, IPv4, card or phone pattern and its check) are
-always selected. The others are scored by boosted trees over format and context features and selected at a calibrated threshold.
-The trees are fitted on every text's base candidates, those that pass their check against those that don't: candidates are
-summed by their features (small integers with at most CELLS combinations, whatever the corpus), and the trees are fitted on that
-table of sums, its calibration part (texts whose id hashes to 0 of 5) left out; the threshold is the lowest at which that part's
-precision reaches PRECISION. Scoring is one map over the texts, without a shuffle.
+always selected. All others, of the base patterns without their check and of further forms (spelled-out and spaced addresses, defanged and
+long IPs, cards and phones in national groupings), are scored by boosted trees and selected at their kind's threshold, unless they lie inside a base span.
+
+The trees don't see the base check: they learn, from all base candidates, those that pass it against those that don't, by what stands
+around them and how they are written (a cue word of their own or of another kind before them, what they are joined to, separators,
+groups, length) and by whether the same text holds sound spans of other kinds. Candidates are summed by these features (small
+integers with at most CELLS combinations, whatever the corpus) and the trees are fitted on that table of sums; texts whose id hashes to 0
+of 5 are left out of it, and each kind's threshold is the lowest at which its candidates there reach PRECISION (a kind without enough
+of both outcomes takes that of all kinds). Scoring is one map over the texts, without a shuffle.
 
 Defined results: a null or empty text has no spans. Texts of any length are read whole. Equal texts have equal spans, rows stay rows.
 An empty table, or one without candidates of both outcomes, gives no model, and no spans but the base ones. Other columns, whatever
@@ -30,19 +34,21 @@ BASE = {
     "card": r"[0-9](?=[0-9]|[ -][0-9])[0-9 -]*?(?![0-9]|[ -][0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Further candidates: spelled-out addresses, IPv6 or bracketed parts, cards of 13 to 15 digits in groups, phones without a plus.
+#: Further forms: spelled-out or spaced addresses; defanged dots and IPv6; cards in groups or by dots; national and 00 phones.
 MORE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\.) ?[a-z]{2,}+",
-    "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
-    "card": r"(?<![0-9.-])[0-9]{4}[ .-][0-9]{4,6}[ .-][0-9]{4,5}(?:[ .-][0-9]{4})?(?![0-9]|[.-][0-9])",
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
+    "email": r"(?i:(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}|@| at ) ?[a-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z]{2,12}+)",
+    "ip": r"(?i:(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])|(?<![0-9.])[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?![0-9.]))",
+    "card": r"(?<![0-9.-])[0-9]{4}[ .-]{1,2}[0-9]{4,6}[ .-]{1,2}[0-9]{4,5}(?:[ .-]{1,2}[0-9]{4})?(?![0-9]|[.-][0-9])",
+    "phone": r"(?<![0-9+(.-])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9]|[.-][0-9])",
 }
-CONTEXT = 24
-CUES = r"(?i)(?:mail|contact|tel|phone|call|fax|mobile|card|visa|credit|pay|host|server|addr|ip)[^a-z0-9]{0,4}$"
+CONTEXT = 32
+#: Words that announce a kind, a short word at most between them and the candidate.
+CUES = {"email": "e-?mail|mail|mailto|contact|write to|reach", "ip": "ip|host|server|address|addr|node|ping", "card": "card|visa|master|amex|credit|debit|payment|charge", "phone": "tel|phone|call|fax|mobile|cell|dial|ring"}
+_AFTER = r")s?[^A-Za-z0-9]{0,4}(?:[a-z]{1,6}[^A-Za-z0-9]{1,3})?$"
 #: Features: name and number of values; at most their product of cells.
-FEATURES = (("kind", 4), ("digits", 21), ("marks", 6), ("length", 6), ("luhn", 2), ("cue", 2), ("joined", 2))
+FEATURES = (("kind", 4), ("cue", 3), ("edge", 3), ("marks", 4), ("groups", 7), ("length", 6), ("company", 3))
 CELLS = math.prod(n for _, n in FEATURES)
-ROUNDS, RATE, PRECISION = 24, 0.3, 0.98
+ROUNDS, RATE, PRECISION, ENOUGH = 24, 0.3, 0.98, 20
 
 
 def _digits(match: Column) -> Column:
@@ -58,31 +64,57 @@ def passes(kind: str, match: Column) -> Column:
     return F.length(digits).between(8, 15) if kind == "phone" else F.lit(True)
 
 
-def features(kind: Column, s: Column) -> Column:
-    match, digits = s["match"], F.length(_digits(s["match"]))
+def features(kind: int, s: Column, company: Column) -> Column:
+    """Of a candidate of the kind, a place in KINDS. company: how many other kinds have sound spans in its text."""
+    match, left = s["match"], s["left"]
     size = F.length(match)
-    marks = F.length(F.regexp_replace(match, "[A-Za-z0-9]", ""))
-    short = F.when(digits.between(12, 19), F.call_function("luhn_check", _digits(match))).otherwise(False)
+    own, other = (r"(?i)(?:^|[^a-z])(?:" + "|".join(words) + _AFTER for words in ([CUES[KINDS[kind]]], [c for k, c in CUES.items() if k != KINDS[kind]]))
+    marks = F.regexp_replace(match, "[A-Za-z0-9]", "")
     step = lambda x, *at: sum((F.when(x >= a, 1).otherwise(0) for a in at), F.lit(0))
     return F.struct(
-        kind.cast("int").alias("kind"), F.least(digits, F.lit(20)).alias("digits"), F.least(marks, F.lit(5)).alias("marks"), step(size, 8, 12, 16, 24, 40).alias("length"),
-        short.cast("int").alias("luhn"), s["left"].rlike(CUES).cast("int").alias("cue"), s["left"].rlike("[A-Za-z0-9]$").cast("int").alias("joined"),
+        F.lit(kind).alias("kind"), F.when(left.rlike(own), 2).when(left.rlike(other), 1).otherwise(0).alias("cue"), F.when(left.rlike("[A-Za-z0-9]$"), 2).when(left.rlike(r"[^\s]$"), 1).otherwise(0).alias("edge"),
+        F.when(marks == "", 0).when(marks.rlike(r"^(.)\1*$"), 1).when(F.length(marks) <= 4, 2).otherwise(3).alias("marks"), (F.least(F.size(F.split(match, "[^A-Za-z0-9]+")), F.lit(7)) - 1).alias("groups"), step(size, 8, 12, 16, 24, 40).alias("length"), F.least(company, F.lit(2)).cast("int").alias("company"),
     )
 
 
-def _found(text: Column, patterns: dict[str, str], context: int) -> dict[str, Column]:
+def _found(text: Column, context: int) -> dict[str, Column]:
+    """The base patterns' matches by kind."""
     digit = text.rlike("[0-9]")
-    when = {"email": text.contains("@") if patterns is BASE else text.contains("(") | text.contains("["), "ip": digit & (text.contains(".") if patterns is BASE else text.contains(":")), "card": digit, "phone": text.contains("+") if patterns is BASE else digit}
-    return {kind: spans.spans(text, pattern, context, when[kind]) for kind, pattern in patterns.items()}
+    when = {"email": text.contains("@"), "ip": digit & text.contains("."), "card": digit, "phone": text.contains("+")}
+    return {kind: spans.spans(text, pattern, context, when[kind]) for kind, pattern in BASE.items()}
+
+
+def _further(text: Column) -> Column:
+    """All kinds' candidates in one pass: at a place, a kind's base form before its further ones, and cards last, as their base form takes any number."""
+    whole = "|".join(f"(?:{form[kind]})" for kind in ("email", "ip", "phone", "card") for form in ((MORE, BASE) if kind == "card" else (BASE, MORE)))
+    return spans.spans(text, whole, CONTEXT, text.rlike(r"[0-9]|@|(?i:[(\[{]at[)\]}]| at )"))
+
+
+def _of_kind(kind: str, match: Column) -> Column:
+    """Whether a candidate reads as this kind, by its own forms; the kinds are asked in order."""
+    return match.rlike(f"^(?:{_PLAIN[kind]})$")
+
+
+#: The same forms without what they look around for: a candidate stands alone.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+|(?i:[a-z0-9][a-z0-9._%+-]* ?(?:\(at\)|\[at\]|\{at\}|@| at ) ?[a-z0-9-]+ ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z]+)",
+    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4})|[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}(?:\[\.\]|\(\.\)|\.)[0-9]{1,3}",
+    "phone": r"\+[0-9][ ().0-9-]+[0-9]|(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /.-]|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{3,4}",
+    "card": r"[0-9][0-9 .-]*[0-9]",
+}
+
+
+def _company(base: dict[str, Column] | Column, k: int) -> Column:
+    return sum((F.when(F.size(base[kind]) > 0, 1).otherwise(0) for j, kind in enumerate(KINDS) if j != k), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Depth-two trees: (feature, at most, (feature, at most, low, high), (feature, at most, low, high)); selected: score of bias and trees at least threshold."""
+    """Depth-two trees: (feature, at most, (feature, at most, low, high), (feature, at most, low, high)); selected: score of bias and trees at least the kind's threshold."""
 
     bias: float
     trees: tuple
-    threshold: float
+    thresholds: tuple
 
     def score(self, x: Column) -> Column:
         def leaf(rule) -> Column:
@@ -133,42 +165,72 @@ def boosted(rows: list[tuple[tuple[int, ...], int, float, float]]) -> Model | No
             at[mask] += np.where(x[mask, a] <= b, lo, hi)
             sides.append((names[a], b, float(lo), float(hi)))
         trees.append((names[j], v, *sides))
-    weight = held if held.sum() else w
-    order = sorted(set(at.round(9)), reverse=True)
-    threshold = float("inf")
-    for t in order:
-        above = at.round(9) >= t
-        if weight[above].sum() and (weight * y)[above].sum() / weight[above].sum() >= PRECISION:
-            threshold = t - 1e-6
-    return Model(bias, tuple(trees), threshold)
+    at = at.round(9)
+
+    def threshold(rows) -> float:
+        weight = held[rows] if held[rows].sum() else w[rows]
+        found = float("inf")
+        for t in sorted(set(at[rows]), reverse=True):
+            above = at[rows] >= t
+            if weight[above].sum() and (weight * y[rows])[above].sum() / weight[above].sum() >= PRECISION:
+                found = t - 1e-6
+        return found
+
+    every, own = threshold(np.ones(len(y), bool)), []
+    for k in range(len(KINDS)):
+        rows_k = x[:, 0] == k
+        some = min((held[rows_k] * y[rows_k]).sum(), (held[rows_k] * (1 - y[rows_k])).sum()) >= ENOUGH
+        own.append(threshold(rows_k) if some else every)
+    return Model(bias, tuple(trees), tuple(own))
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The model of a corpus. What reaches the driver is the table of sums, of at most 2 * CELLS rows."""
-    df = docs.select(F.pmod(F.xxhash64(id_col), F.lit(5)).alias("fold"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = _found(F.col("text"), BASE, CONTEXT)
-    row = lambda k, kind: lambda s: F.struct(features(F.lit(k), s).alias("x"), passes(kind, s["match"]).cast("int").alias("y"))
-    rows = [F.transform(found[kind], row(k, kind)) for k, kind in enumerate(KINDS)]
-    cells = df.select("fold", F.explode(F.concat(*rows)).alias("c")).groupBy("c.x", "c.y").agg(F.sum(F.when(F.col("fold") > 0, 1).otherwise(0)).alias("w"), F.sum(F.when(F.col("fold") == 0, 1).otherwise(0)).alias("held"))
+    df = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(5)).alias("fold"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    found = F.struct(*(c.alias(kind) for kind, c in _found(F.col("text"), CONTEXT).items()))
+
+    sound_of = lambda kind: lambda s: passes(kind, s["match"])
+
+    def rows(f: Column) -> Column:
+        sound = F.struct(*(F.filter(f[kind], sound_of(kind)).alias(kind) for kind in KINDS))
+        row = lambda k, kind, b: F.transform(f[kind], lambda s: F.struct(features(k, s, _company(b, k)).alias("x"), passes(kind, s["match"]).cast("int").alias("y")))
+        return spans.let(sound, lambda b: F.concat(*(row(k, kind, b) for k, kind in enumerate(KINDS))))
+
+    cells = df.select("fold", F.explode(spans.let(found, rows)).alias("c")).groupBy("c.x", "c.y").agg(F.sum(F.when(F.col("fold") > 0, 1).otherwise(0)).alias("w"), F.sum(F.when(F.col("fold") == 0, 1).otherwise(0)).alias("held"))
     return boosted(sorted((tuple(r["x"]), r["y"], r["w"], r["held"]) for r in cells.collect()))
 
 
 def with_spans(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "found") -> DataFrame:
     """docs and a struct out: base (arrays of spans by kind) and all (structs of k, start, end: base and selected ones, by kind and start)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    found = _found(text, BASE, 0)
+    found = _found(text, 0)
     sound = lambda kind: lambda s: passes(kind, s["match"])
     base = F.struct(*(F.filter(found[kind], sound(kind)).alias(kind) for kind in KINDS))
     place = lambda k: lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"))
     lists = lambda b: [F.transform(b[kind], place(k)) for k, kind in enumerate(KINDS)]
-    if model is None:
+    if model is None or all(t == float("inf") for t in model.thresholds):
         return docs.withColumn(out, spans.let(base, lambda b: F.struct(b.alias("base"), F.concat(*lists(b)).alias("all"))))
-    more = _found(text, MORE, CONTEXT)
-    likely = lambda k: lambda s: spans.let(features(F.lit(k), s), lambda x: model.score(x) >= model.threshold)
-    chosen = [F.transform(F.filter(more[kind], likely(k)), place(k)) for k, kind in enumerate(KINDS)]
+
+    def chosen(b: Column) -> Column:
+        above = lambda k: lambda x: model.score(x) >= model.thresholds[k]
+
+        def likely(s: Column) -> Column:
+            of, score = F.lit(None).cast("int"), F.lit(False)
+            for kind in ("card", "phone", "ip", "email"):  # the first kind that it reads as is asked last, so stands first
+                k = KINDS.index(kind)
+                is_kind = _of_kind(kind, s["match"])
+                of = F.when(is_kind, F.lit(k)).otherwise(of)
+                pick = spans.let(features(k, s, _company(b, k)), above(k))
+                score = F.when(is_kind, pick).otherwise(score)
+            return F.when(score, of)
+
+        scored = F.transform(_further(text), lambda s: F.struct(likely(s).alias("k"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.filter(scored, lambda s: s["k"].isNotNull())
 
     def joined(b: Column) -> Column:
-        return F.struct(b.alias("base"), F.when(F.size(F.concat(*chosen)) == 0, F.concat(*lists(b))).otherwise(F.array_sort(F.array_distinct(F.concat(*lists(b), *chosen)))).alias("all"))
+        own = lambda every: F.filter(every, lambda s: ~F.exists(F.concat(*lists(b)), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+        more = spans.let(chosen(b), lambda c: F.when(F.size(c) > 0, own(c)).otherwise(c))
+        return F.struct(b.alias("base"), spans.let(more, lambda m: F.when(F.size(m) == 0, F.concat(*lists(b))).otherwise(F.array_sort(F.concat(*lists(b), m)))).alias("all"))
 
     return docs.withColumn(out, spans.let(base, joined))
 
