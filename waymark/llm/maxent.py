@@ -183,6 +183,20 @@ class Model:
         self.symbol = rng.integers(0, 2**32, len(vocab) + 2, np.uint32)  # of a leaf as context; the last: before the text
         self.weights = [np.zeros((n, WAYS), np.float32) for n in ROWS]
 
+    def _with(self, kind) -> Model:
+        out = Model.__new__(Model)
+        out.__dict__.update(self.__dict__)
+        out.weights = [w.astype(kind) for w in self.weights]
+        return out
+
+    def packed(self) -> Model:
+        """With weights of half the size, as tasks get them."""
+        return self._with(np.float16)
+
+    def unpacked(self) -> Model:
+        """With weights of its own, to compute with."""
+        return self._with(np.float32)
+
     def leaf(self, h: np.ndarray) -> np.ndarray:
         """The leaf of each hash: 0 outside the vocabulary."""
         if not len(self.hashes):
@@ -260,41 +274,40 @@ def trained(chunks: DataFrame, model: Model, epochs: int = EPOCHS, rate: float =
     spark = chunks.sparkSession
     slices = [(j, a) for j, n in enumerate(ROWS) for a in range(0, n, SLICE)]
     for _ in range(epochs):
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(model.packed())
 
         def run(batches, sent=sent):
             own = None
             for batch in batches:
                 if own is None:
-                    own = Model.__new__(Model)
-                    own.__dict__.update(sent.value.__dict__)
-                    own.weights = [w.copy() for w in own.weights]
+                    own = sent.value.unpacked()
                     squares, met = [np.zeros(n, np.float32) for n in ROWS], [np.zeros(n, np.float32) for n in ROWS]
                 for row, lens, leaf, ctx in _positions(own, batch):
                     mask = np.repeat(np.array(row["train"].as_py(), bool), lens)
                     own.learn(leaf[mask], tuple(c[mask] for c in ctx), squares, met, rate)
             if own is not None:
                 for k, (j, a) in enumerate(slices):
-                    m = met[j][a : a + SLICE]
-                    change = (own.weights[j][a : a + SLICE] - sent.value.weights[j][a : a + SLICE]) * m[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m.tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], ["slice", "met", "change"])
+                    change = own.weights[j][a : a + SLICE] - sent.value.weights[j][a : a + SLICE].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([met[j][a : a + SLICE].tobytes()], pa.binary()), pa.array([change.astype(np.float16).tobytes()], pa.binary())], ["slice", "met", "change"])
 
         def add(batches):
             sums: dict[int, list[np.ndarray]] = {}
             for batch in batches:
                 for k, m, x in zip(*(batch.column(c).to_pylist() for c in ("slice", "met", "change")), strict=True):
-                    new = [np.frombuffer(m, np.float32).astype(np.float64), np.frombuffer(x, np.float32).astype(np.float64)]
+                    times = np.frombuffer(m, np.float32).astype(np.float64)
+                    new = [times, np.frombuffer(x, np.float16).reshape(-1, WAYS) * times[:, None]]
                     sums[k] = [a + b for a, b in zip(sums[k], new, strict=True)] if k in sums else new
             for k, (m, x) in sums.items():
-                mean = (x.reshape(-1, WAYS) / np.maximum(m, 1)[:, None]).astype(np.float32)
+                mean = (x / np.maximum(m, 1)[:, None]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([mean.tobytes()], pa.binary())], ["slice", "mean"])
 
         few = common.bounded(chunks.select("train", "lens", "hashes", "codes").coalesce(TASKS * spark.sparkContext.defaultParallelism))
-        changes = common.settled(few.mapInArrow(run, "slice long, met binary, change binary"), "changes", 8)
-        for r in changes.repartition(len(slices), "slice").mapInArrow(add, "slice long, mean binary").collect():
+        changes = few.mapInArrow(run, "slice long, met binary, change binary").repartition(len(slices), "slice")
+        base = model.packed().unpacked().weights
+        for r in changes.mapInArrow(add, "slice long, mean binary").collect():
             j, a = slices[r["slice"]]
-            model.weights[j][a : a + SLICE] += np.frombuffer(bytes(r["mean"]), np.float32).reshape(-1, WAYS)
-        common.dropped(spark, changes)
+            model.weights[j][a : a + SLICE] = base[j][a : a + SLICE] + np.frombuffer(bytes(r["mean"]), np.float32).reshape(-1, WAYS)
+        sent.destroy()
     return model
 
 
@@ -309,11 +322,11 @@ def fitted(chunks: DataFrame, epochs: int = EPOCHS) -> tuple[DataFrame, Model]:
 def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id_col, train, n_tokens, n_known, train_tokens, base_score and score of each text of chunks."""
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
-    sent = chunks.sparkSession.sparkContext.broadcast(model)
+    sent = chunks.sparkSession.sparkContext.broadcast(model.packed())
     unit, tail_unit = np.log10(model.total + 0.5 * (model.distinct + 1)), np.log10(model.tail_total)
 
     def look(batches):
-        own = sent.value
+        own = sent.value.unpacked()
         for batch in batches:
             for row, lens, leaf, ctx in _positions(own, batch):
                 text = np.repeat(np.arange(len(lens)), lens)
@@ -331,7 +344,7 @@ def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "do
                     ["chunk", "ids", "train", "lens", "score", "base", "known", "rare", "text", "place"],
                 )
 
-    rows = common.settled(common.bounded(chunks).mapInArrow(look, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, score binary, base binary, known binary, rare array<long>, text binary, place binary"), "scored", 8)
+    rows = common.settled(common.bounded(chunks.drop("counts")).mapInArrow(look, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, score binary, base binary, known binary, rare array<long>, text binary, place binary"), "scored", 8)
     each = rows.select("chunk", F.posexplode("rare").alias("place", "h"))
     met = each.join(counts, "h").groupBy("chunk").agg(F.collect_list("place").alias("at"), F.collect_list("c").alias("c"))
     both = rows.select("*", F.size("rare").alias("n_rare")).drop("rare").join(met, "chunk", "left")
@@ -362,4 +375,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = F.coalesce(remainder(F.col(f"`{id_col}`"), 5) == 1, F.lit(False))
     chunks = chunked(docs, id_col, text_col, ~held)
     counts, model = fitted(chunks)
-    return scored(chunks, counts, model, id_col).select(id_col, (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = scored(chunks, counts, model, id_col)
+    common.dropped(docs.sparkSession, chunks)  # what is scored is settled
+    return rows.select(F.col(f"`{id_col}`"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
