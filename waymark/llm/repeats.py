@@ -2,12 +2,13 @@
 
 A string of LENGTH bytes that occurs twice has the same anchor in both places: of its hashes of K bytes, the least (ties all). So
 a row for each anchor of a text (hash, hash of the bytes around it that any string with this anchor can cover) is dealt out by its hash.
-Where the whole surroundings occur twice, all of it is removed. Where only the anchor does (a repeat starts or ends nearby), the
+Where the whole surroundings occur twice (by two 64-bit hashes, the anchor's and theirs), all of it is removed. Where only the anchor does (a repeat starts or ends nearby), the
 surroundings are brought together, once for each distinct one, dealt by anchor, and sorted: the offsets that a string can have are
 cut in ranges, pieces that don't share their range's core are set aside, equal pieces count as one, and the suffixes of the rest are sorted by a
 difference cover modulo 3 (suffix_order: sampled triples are named, names are sorted by recursion until they cover LENGTH bytes, and
 the remaining suffixes are merged). Adjacent suffixes that agree on LENGTH bytes, as bytes, mark repeats. Tasks hold pieces, not
-texts; groups are sorted in runs of about POOL bytes. Sorting all suffixes of a corpus instead would shuffle over 20 times its size.
+texts; groups are sorted in runs of about POOL bytes. An anchor with PAIRS pieces at most has them compared two by two instead; one with more than
+HOT has its strings counted by hash, so that no task holds them. Null ids and repeated rows are rows like others; a text's spans are found by its key.
 
 Defined results: a null or empty text is no bytes. Texts shorter than LENGTH lose nothing. Texts of any length are read whole, in
 overlapping segments. Of equal texts of LENGTH bytes or more nothing is left. An empty table gives none. Other columns are not read.
@@ -26,6 +27,8 @@ from waymark.llm import common
 
 LENGTH, K, SEGMENT, POOL = 200, 100, 1 << 20, 1_000_000
 W = LENGTH - K + 1
+#: Pieces of an anchor that are compared two by two, at most; pieces beyond which an anchor's strings are counted by hash; bytes of a run; parts of a join.
+PAIRS, HOT, RUN, SALT = 6, 20_000, 8_000_000, 32
 #: Offsets (anchor's place less string's start) in ranges, first and last + 1.
 RANGES = tuple((first, min(first + 5, W) if first < W - 6 else W) for first in range(0, W - 1, 5))
 _BASE = 0x9E3779B97F4A7C15
@@ -215,14 +218,37 @@ def _sorted_run(pool: list[list[int]], pieces, left, sizes, offset, out) -> None
         out[members[r]].append(np.array([offset[-1] - s]))
 
 
+def pair_spans(place: np.ndarray, pieces: list[bytes], left: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (a, b) of pieces around the same anchor: the pieces that share a string at the same offset (places in the list), and the spans of
+    all such strings: from the anchor, both are followed to the left and to the right as far as they agree."""
+    width = W - 1 + LENGTH
+    grid = np.zeros((len(pieces), width), np.int16)
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16) + 1
+    row = np.repeat(np.arange(len(pieces)), lens)
+    grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(W - 1 - left, lens)] = flat
+    which, spans = [], []
+    for i in range(0, len(a), 20_000):
+        p, q = a[i : i + 20_000], b[i : i + 20_000]
+        other = (grid[p] != grid[q]) | (grid[p] == 0)
+        back, ahead = other[:, : W - 1][:, ::-1], other[:, W - 1 :]
+        before = np.where(back.any(1), back.argmax(1), W - 1)
+        after = np.where(ahead.any(1), ahead.argmax(1), LENGTH)
+        hit = np.flatnonzero(before + after >= LENGTH)
+        for side in (p[hit], q[hit]):
+            which.append(side)
+            spans.append(np.stack([place[side] - before[hit], place[side] + after[hit]], 1))
+    return (np.concatenate(which), np.concatenate(spans)) if which else (np.empty(0, np.int64), np.empty((0, 2), np.int64))
+
+
 def _key():
     return F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, key) of each text, and for each key that has any, spans: a flat array of starts and ends of what is to be removed, joined."""
-    df = common.slim(docs, text_col, id_col).withColumn("key", _key())
-    where = common.settled(df.select(F.col(id_col).alias("id"), "key"), "keys")
+    df = common.slim(docs, text_col, id_col).withColumnRenamed(id_col, "id").withColumn("key", _key())
+    where = common.settled(df.select("id", "key"), "keys")
 
     def make():
         def step(batch):
@@ -254,53 +280,95 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     rows = common.settled(rows.where("n_c > 1 or edges").select("h", "c", "key", "place", "lo", "hi", "spans", (F.col("n_c") > 1).alias("inner"), (F.col("edges") & (F.col("turn") == 1)).alias("shown")), "anchors")
     inner = rows.where("inner and hi - lo >= %d" % LENGTH).select("key", F.coalesce("spans", F.array(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("spans")).distinct()
     # The surroundings of undecided anchors, cut from one text of each key.
-    firsts = where.groupBy("key").agg(F.min("id").alias("id"))
-    asked = rows.where("shown").groupBy("key").agg(F.collect_list(F.struct("h", "inner", "place", "lo", "hi")).alias("asked")).join(firsts, "key").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "asked")
-    texts = df.join(asked, (F.col(id_col) == F.col("__id")) & (F.col("key") == F.col("__key"))).dropDuplicates(["__id", "key"]).select("key", "text", "asked")
+    firsts = where.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("lacks"), "id")).alias("first"))
+    undecided = rows.where("shown")
+    many = common.settled(undecided.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"), "hot-anchors")
+    marked = undecided.join(many.withColumn("hot", F.lit(True)), "h", "left").na.fill(False, ["hot"])
+    asked = marked.groupBy("key").agg(F.collect_list(F.struct("h", "inner", "place", "lo", "hi", "hot")).alias("asked")).join(firsts, "key").select(F.col("first.id").alias("__id"), F.col("key").alias("__key"), "asked")
+    texts = df.join(asked, F.col("id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).dropDuplicates(["key"]).select("key", "text", "asked")
 
     def cut(batches):
         for batch in batches:
             for key, text, list_ in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "asked")), strict=True):
                 raw = text.encode()
-                names = ["h", "key", "inner", "place", "bytes", "left_n"]
-                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in list_], pa.int64()), pa.array([key] * len(list_)), pa.array([x["inner"] for x in list_]), pa.array([x["place"] for x in list_], pa.int64()), pa.array([raw[x["lo"] : x["hi"]] for x in list_], pa.binary()), pa.array([x["place"] - x["lo"] for x in list_], pa.int64())], names)
+                names = ["h", "key", "inner", "place", "bytes", "left_n", "hot"]
+                yield pa.RecordBatch.from_arrays([pa.array([x["h"] for x in list_], pa.int64()), pa.array([key] * len(list_)), pa.array([x["inner"] for x in list_]), pa.array([x["place"] for x in list_], pa.int64()), pa.array([raw[x["lo"] : x["hi"]] for x in list_], pa.binary()), pa.array([x["place"] - x["lo"] for x in list_], pa.int64()), pa.array([x["hot"] for x in list_])], names)
+
+    around = common.bounded(texts).mapInArrow(cut, "h long, key string, inner boolean, place long, bytes binary, left_n long, hot boolean")
+    if many.head(1):
+        around = common.settled(around, "around")
+    few = around.where("not hot").repartition("h").sortWithinPartitions("h")
+    outer = common.bounded(few).mapInArrow(_settle_few, "key string, spans array<int>")
+    if many.head(1):
+        outer = outer.union(_counted_strings(around.where("hot and not inner"), around.where("hot")))
+    return where, common.settled(inner.union(outer).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+
 
-    around = texts.mapInArrow(cut, "h long, key string, inner boolean, place long, bytes binary, left_n long").repartition("h").sortWithinPartitions("h")
+def _settle_few(batches):
+    """Spans of the strings that pieces share with others of their anchor; whole anchors at a time, in runs of about RUN bytes. An anchor has HOT pieces at most."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def decided(table: pa.Table):
+        h, pieces = table.column("h").to_numpy(), table.column("bytes").to_pylist()
+        place, left = table.column("place").to_numpy(), table.column("left_n").to_numpy()
+        keys, inside = table.column("key").to_pylist(), table.column("inner").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        sizes = np.diff(starts, append=len(h))
+        out_keys, out_spans = [], []
+        pairs = [(np.repeat(starts[sizes == n], n * (n - 1) // 2) + np.tile(i, (sizes == n).sum()), np.repeat(starts[sizes == n], n * (n - 1) // 2) + np.tile(j, (sizes == n).sum())) for n in range(2, PAIRS + 1) for i, j in [np.triu_indices(n, 1)]]
+        which, spans = pair_spans(place, pieces, left, *(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        open_ = ~inside[which]
+        for i, span in zip(which[open_].tolist(), spans[open_].astype(np.int32), strict=True):
+            out_keys.append(keys[i])
+            out_spans.append(span)
+        large = np.flatnonzero(np.repeat(sizes > PAIRS, sizes))
+        hits = repeated_offsets(h[large], [pieces[i] for i in large], left[large])
+        for i, offsets in zip(large.tolist(), hits, strict=True):
+            if len(offsets) and not inside[i]:
+                out_keys.append(keys[i])
+                out_spans.append(united(np.stack([place[i] - offsets, place[i] - offsets + LENGTH], 1)).ravel().astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(out_keys, pa.string()), pa.array(out_spans, pa.list_(pa.int32()))], ["key", "spans"])
+
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total > RUN:
+            table = pa.Table.from_batches(held)
+            h = table.column("h").to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last anchor may go on in the next batch
+            if whole:
+                yield decided(table.slice(0, whole))
+            held, total = table.slice(whole).combine_chunks().to_batches(), 0 if whole else -RUN
+    if held:
+        yield decided(pa.Table.from_batches(held))
 
-    def sort(batches):
-        held: list[pa.RecordBatch] = []
 
-        def decided(table: pa.Table):
-            h, pieces = table.column("h").to_numpy(), table.column("bytes").to_pylist()
-            hits = repeated_offsets(h, pieces, table.column("left_n").to_numpy())
-            keys, spans = [], []
-            for key, is_inner, place, offsets in zip(table.column("key").to_pylist(), table.column("inner").to_pylist(), table.column("place").to_pylist(), hits, strict=True):
-                if len(offsets) and not is_inner:
-                    keys.append(key)
-                    spans.append(united(np.stack([place - offsets, place - offsets + LENGTH], 1)).ravel().astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["key", "spans"])
+def _counted_strings(open_: DataFrame, every: DataFrame) -> DataFrame:
+    """key and spans of the repeated strings around anchors with very many pieces: each string of a piece is a row (its anchor, its hash, its place), counted
+    with partial sums, and found again by parts, so that no task holds an anchor's pieces. open_: pieces to settle; every: all pieces."""
 
+    def strings(batches):
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            if table.nbytes > 8_000_000:  # whole groups only: the last one may go on in the next batch
-                h = table.column("h").to_numpy()
-                whole = int(np.searchsorted(h, h[-1]))
-                if whole:
-                    yield decided(table.slice(0, whole))
-                    held = table.slice(whole).combine_chunks().to_batches()
-        if held:
-            yield decided(pa.Table.from_batches(held))
-
-    outer = around.mapInArrow(sort, "key string, spans array<int>")
-    return where, common.settled(inner.union(outer).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+            for h, key, place, piece, left in zip(*(batch.column(c).to_pylist() for c in ("h", "key", "place", "bytes", "left_n")), strict=True):
+                at = np.arange(max(len(piece) - LENGTH + 1, 0))
+                at = at[(at <= left) & (at + LENGTH >= left + K)]
+                if len(at):
+                    s = Hashes(np.frombuffer(piece, np.uint8))(at, at + LENGTH)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), pa.array(s.view(np.int64)), pa.array([key] * len(at)), pa.array(place - left + at), pa.array(left - at)], ["h", "s", "key", "start", "o"])
+
+    shape = "h long, s long, key string, start long, o long"
+    repeated = common.bounded(every).mapInArrow(strings, shape).groupBy("h", "o", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "o", "s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    mine = common.bounded(open_).mapInArrow(strings, shape).withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.lit(SALT)).cast("int"))
+    found_ = mine.join(repeated, ["h", "o", "s", "salt"], "left_semi")
+    return found_.select("key", F.array(F.col("start").cast("int"), (F.col("start") + LENGTH).cast("int")).alias("spans"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) for each row."""
     _, spans = found(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    df = common.slim(docs, text_col, id_col).withColumn("key", _key()).join(spans, "key", "left").select(id_col, "text", "spans")
+    df = common.slim(docs, text_col, id_col).withColumnRenamed(id_col, "id").withColumn("key", _key()).join(spans, "key", "left").select("id", "text", "spans")
 
     def make():
         def step(batch):
@@ -313,7 +381,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     rows.append((len(raw), len(raw) - len(kept), len(spans), kept))
                 n, gone, count, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
         return step
 
