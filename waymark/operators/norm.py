@@ -28,13 +28,22 @@ def medians(cells: DataFrame, keys: list[str], metrics: list[str], prefix: str)
 
 def deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int, bins: Column | None = None) -> DataFrame:
     """rows with, for each output name of metrics, a metric's deviation from the median of its (bin, type) cell, or of its bin where
-    the cell has fewer than cell_min rows. Two aggregations join back; no window sorts the rows."""
+    the cell has fewer than cell_min rows.
+
+    One histogram of the cells (values to 4 places, counted with partial sums) gives both levels' medians, so that rows are read twice, once for
+    the norms and once to join them, and no task sorts or holds a bin's rows."""
     rows = rows.withColumn("bin", geo.right_closed(F.col("gc_km")) if bins is None else bins)
-    cells = rows.groupBy("bin", "typecode").agg(F.count(F.lit(1)).alias("n_cell"), *(median(F.col(m)).alias(f"cell_{m}") for m in metrics.values()))
-    whole = rows.groupBy("bin").agg(*(median(F.col(m)).alias(f"bin_{m}") for m in metrics.values()))
-    joined = rows.join(cells, ["bin", "typecode"]).join(whole, "bin")
-    made = {out: F.col(m) - F.when(F.col("n_cell") >= cell_min, F.col(f"cell_{m}")).otherwise(F.col(f"bin_{m}")) for out, m in metrics.items()}
-    return joined.withColumns(made).drop(*(f"{k}_{m}" for k in ("cell", "bin") for m in metrics.values()))
+    names = list(metrics.values())
+    values = F.array(*(F.struct(F.lit(i).alias("m"), F.round(F.col(m), 4).alias("v")) for i, m in enumerate(names)))
+    cells = rows.select("bin", "typecode", F.explode(values).alias("x")).groupBy("bin", "typecode", "x.m", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.where("m = 0").groupBy("bin", "typecode").agg(F.sum("n").alias("n_cell"))
+    known = cells.where("v is not null")
+    own = medians(known, ["bin", "typecode"], names, "cell")
+    whole = medians(known.groupBy("bin", "m", "v").agg(F.sum("n").alias("n")), ["bin"], names, "bin")
+    norms = sizes.join(own, ["bin", "typecode"], "left").join(whole, "bin", "left")
+    pick = lambda m: F.when(F.col("n_cell") >= cell_min, F.col(f"cell_{m}")).otherwise(F.col(f"bin_{m}")).alias(f"norm_{m}")
+    joined = rows.join(norms.select("bin", "typecode", "n_cell", *map(pick, names)), ["bin", "typecode"])
+    return joined.withColumns({out: F.col(m) - F.col(f"norm_{m}") for out, m in metrics.items()}).drop(*(f"norm_{m}" for m in names))
 
 
 def mean_deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int) -> DataFrame:

@@ -257,7 +257,31 @@ def decomposed(points: DataFrame, keys: list[str], models: dict[str, PerfModel]
 STEP_COLUMNS = "i int, t double, dt double, alt double, vs double, tas double, km double, burn double"
 
 
-def step_table(points: DataFrame, keys: list[str], models: dict[str, PerfModel] | None = None, load: float = LOAD, reserve: float = RESERVE_KG) -> DataFrame:
+def airspeed(ias, alt, gs, mode: str = "ias") -> np.ndarray:
+    """True airspeed in kt: from the indicated one where it is over 40 (mode "ias"), else the ground speed."""
+    ias, gs = np.nan_to_num(np.asarray(ias, float)), np.asarray(gs, float)
+    return gs if mode == "gs" else np.where(ias > 40, cas_to_tas_kt(ias, np.nan_to_num(alt)), gs)
+
+
+def wind_aware_ideal_co2(model, ends: tuple[float, float, float, float], start: float, wind=None) -> float:
+    """kg of CO2 of the ideal flight between two places (lat, lon, lat, lon) that leaves at start, in the wind of its great circle."""
+    km = float(haversine(*ends))
+    level = best_altitude(model, km)
+    return ideal_kg(model, km, level, wind_on_great_circle(wind, model, ends, start, km, level) if wind else 0.0) * CO2
+
+
+def altitude_table(spark, models: dict[str, PerfModel], buckets: range = range(50, 6001, 50)) -> DataFrame:
+    """typecode, bucket_km, alt_ft: the best altitude by type and distance bucket, a table to join by (typecode, bucket); computed by tasks."""
+    rows = spark.createDataFrame([(t, b) for t in models for b in buckets], "typecode string, bucket_km int").repartition(max(len(models), 1), "bucket_km")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(alt_ft=[best_altitude(models[t], float(b)) for t, b in zip(batch["typecode"], batch["bucket_km"], strict=True)])
+
+    return rows.mapInPandas(run, "typecode string, bucket_km int, alt_ft double")
+
+
+def step_table(points: DataFrame, keys: list[str], models: dict[str, PerfModel] | None = None, load: float = LOAD, reserve: float = RESERVE_KG, tas_mode: str = "ias") -> DataFrame:
     """keys, typecode and each usable step of each flight with its consumption, in order (i). Flights with fewer than ten such steps, or of types without a model, go."""
     models = models or {"": PerfModel()}
     names = [c.split()[0] for c in STEP_COLUMNS.split(", ")]
@@ -265,7 +289,7 @@ def step_table(points: DataFrame, keys: list[str], models: dict[str, PerfModel]
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t"], kind="stable")
         t, lat, lon, alt, gs, ias = (frame[c].to_numpy(float) for c in ("t", "lat", "lon", "alt", "gs", "ias"))
-        tas = np.where(np.nan_to_num(ias) > 40, cas_to_tas_kt(np.nan_to_num(ias), np.nan_to_num(alt)), gs)
+        tas = airspeed(ias, alt, gs, tas_mode)
         s = steps(t, alt, tas, haversine(lat[:-1], lon[:-1], lat[1:], lon[1:])) if len(t) > 10 else None
         if s is None:
             return pd.DataFrame(columns=[*keys, "typecode", *names])

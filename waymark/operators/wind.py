@@ -38,12 +38,12 @@ def _cell(x: Column, axis: list[float], clamp: bool) -> tuple[Column, Column, Co
     """Places of the two neighbours of x on the axis, and the upper one's weight. Beyond the ends: the end (clamp), or a straight line on."""
     values = F.array(*map(F.lit, axis))
     if len(axis) == 1:
-        return F.lit(0), F.lit(0), F.lit(0.0)
-    x = F.least(F.greatest(x, F.lit(axis[0])), F.lit(axis[-1])) if clamp else x
+        return F.lit(0), F.lit(0), F.when(x.isNotNull(), F.lit(0.0))
+    x = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(axis[0])), F.lit(axis[-1]))) if clamp else x  # greatest() passes over nulls
     step = (axis[-1] - axis[0]) / (len(axis) - 1)
     even = all(abs(b - a - step) < 1e-9 * max(abs(step), 1) for a, b in zip(axis, axis[1:], strict=False))
     low = F.floor((x - axis[0]) / step) if even else F.size(F.filter(values, lambda v: v <= x)) - 1
-    low = F.least(F.greatest(low.cast("int"), F.lit(0)), F.lit(len(axis) - 2))
+    low = F.when(x.isNotNull(), F.least(F.greatest(low.cast("int"), F.lit(0)), F.lit(len(axis) - 2)))
     a, b = F.get(values, low), F.get(values, low + 1)
     return low, low + 1, (x - a) / (b - a)
 

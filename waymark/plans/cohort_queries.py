@@ -336,3 +336,67 @@ def q_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days out of tags."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", text.day_of(F.concat(F.lit("planes-"), F.date_format(F.col("ts").cast("timestamp"), "yyyy.MM.dd"), F.lit("-full"))).alias("day"), F.hour("ts").cast("long").alias("hour"))
+
+
+_MONTHS = ("1995-01", "1995-02", "1995-03", "1995-04")
+
+
+@query(f"WITH {MOV}, {_PLACED}, p AS (SELECT airport, {', '.join(f"median(round(total, 4)) FILTER (WHERE month = '{m}') AS m{i}" for i, m in enumerate(_MONTHS))} FROM placed WHERE role = 'dep' AND typecode = 'RF' GROUP BY airport) SELECT airport, {', '.join(f'round(m{i}, 6) AS m{i}' for i in range(4))} FROM p WHERE (m0 IS NOT NULL)::INT + (m1 IS NOT NULL)::INT + (m2 IS NOT NULL)::INT + (m3 IS NOT NULL)::INT >= 3")
+def q_month_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by month, of those that have three of the months at least."""
+    placed = norm.double_entry(movements(spark, sf_dir), "month", "typecode", "total").where("role = 'dep' and typecode = 'RF'")
+    wide = placed.groupBy("airport").pivot("month", list(_MONTHS)).agg(norm.median(F.col("total")))
+    return wide.select("airport", *(F.round(F.col(f"`{m}`"), 6).alias(f"m{i}") for i, m in enumerate(_MONTHS))).dropna(thresh=3, subset=[f"m{i}" for i in range(4)])
+
+
+@query(f"WITH {MOV}, d AS (SELECT a, b, count(*) FILTER (WHERE origin = a) AS n1, count(*) FILTER (WHERE origin = b) AS n2, median(round(total, 4)) FILTER (WHERE origin = a) AS t1, median(round(total, 4)) FILTER (WHERE origin = b) AS t2, median(round(flown_km / gc_km, 4)) FILTER (WHERE origin = a) AS f1, median(round(flown_km / gc_km, 4)) FILTER (WHERE origin = b) AS f2 FROM mov WHERE a < b GROUP BY a, b) SELECT count(*) AS pairs, round(median(abs(t1 - t2)), 6) AS spread, round(median(abs(f1 - f2)), 6) AS detour FROM d WHERE n1 >= 10 AND n2 >= 10")
+def q_dir_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over pairs of places: the median difference between directions, of excess and of detour."""
+    rows = norm.route(movements(spark, sf_dir)).where("a < b").withColumn("detour", F.col("flown_km") / F.col("gc_km"))
+    out = F.col("origin") == F.col("a")
+    mid = lambda c, when: F.percentile(F.when(when, F.round(c, 4)), 0.5)
+    d = rows.groupBy("a", "b").agg(F.count(F.when(out, 1)).alias("n1"), F.count(F.when(~out, 1)).alias("n2"), *(mid(c, w).alias(f"{c}{k}") for c in ("total", "detour") for k, w in ((1, out), (2, ~out))))
+    both = d.where("n1 >= 10 and n2 >= 10")
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.percentile(F.abs(F.col("total1") - F.col("total2")), 0.5), 6).alias("spread"), F.round(F.percentile(F.abs(F.col("detour1") - F.col("detour2")), 0.5), 6).alias("detour"))
+
+
+@query(f"WITH {MOV}, {_norm_sql('total')}, q AS (SELECT quantile_cont(round(d, 4), 0.75) AS q FROM dev) SELECT count(DISTINCT day) AS days, round(sum(greatest(d, 0) / 100 * ideal) * 365 / count(DISTINCT day) / 1e6, 6) AS all_m, round(sum(CASE WHEN round(d, 4) >= q THEN greatest(d, 0) / 100 * ideal ELSE 0 END) * 365 / count(DISTINCT day) / 1e6, 6) AS worst_m FROM dev, q")
+def q_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a year would save if no movement were above its norm, and if the worst quarter were not."""
+    dev = norm.deviations(movements(spark, sf_dir), {"d": "total"}, 1000)
+    q = dev.agg(F.percentile(F.round("d", 4), 0.75).alias("q"))  # one row
+    saved = F.greatest(F.col("d"), F.lit(0.0)) / 100 * F.col("ideal")
+    out = dev.join(F.broadcast(q), F.lit(True)).agg(F.count_distinct("day").alias("days"), F.sum(saved).alias("a"), F.sum(F.when(F.round("d", 4) >= F.col("q"), saved).otherwise(0.0)).alias("w"))
+    return out.select("days", *(F.round(F.col(c) * 365 / F.col("days") / 1e6, 6).alias(n) for c, n in (("a", "all_m"), ("w", "worst_m"))))
+
+
+@query(f"WITH {MOV}, {_PLACED}, m AS (SELECT month, airport, count(*) AS n, round(median(round(total, 4)), 6) AS med FROM placed GROUP BY ALL HAVING count(*) >= 40), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY med DESC, airport) AS rank, count(*) OVER (PARTITION BY month) AS places FROM m) SELECT month, max(places) AS places, max(CASE WHEN rank = 1 THEN airport END) AS first, round(max(CASE WHEN rank = 1 THEN med END) - max(CASE WHEN rank = 10 THEN med END), 6) AS head_span, round(max(CASE WHEN airport = 7 THEN (places - rank) * 100.0 / places END), 6) AS percentile_7 FROM r GROUP BY month")
+def q_month_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months: the first place, how far it is above the tenth, and where one place stands."""
+    m = norm.double_entry(movements(spark, sf_dir), "month", "total").groupBy("month", "airport").agg(F.count(F.lit(1)).alias("n"), F.round(norm.median(F.col("total")), 6).alias("med")).where("n >= 40")
+    r = m.withColumns({"rank": F.row_number().over(Window.partitionBy("month").orderBy(F.desc("med"), "airport")), "places": F.count(F.lit(1)).over(Window.partitionBy("month"))})
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    share = (F.col("places") - F.col("rank")) * 100.0 / F.col("places")
+    return r.groupBy("month").agg(F.max("places").alias("places"), at(1, "airport").alias("first"), F.round(at(1, "med") - at(10, "med"), 6).alias("head_span"), F.round(F.max(F.when(F.col("airport") == 7, share)), 6).alias("percentile_7"))
+
+
+@query(f"WITH {MOV}, r AS (SELECT a, b, count(*) AS n, round(median(round(total, 4)), 6) AS med FROM mov GROUP BY a, b HAVING count(*) >= 10) SELECT * FROM (SELECT 'top' AS list, * FROM r ORDER BY med DESC, a, b LIMIT 15) UNION ALL SELECT * FROM (SELECT 'bottom', * FROM r ORDER BY med, a, b LIMIT 15)")
+def q_both_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen routes of the highest and fifteen of the lowest excess."""
+    r = norm.route(movements(spark, sf_dir)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(norm.median(F.col("total")), 6).alias("med")).where("n >= 10")
+    end = lambda name, order: r.orderBy(order, "a", "b").limit(15).select(F.lit(name).alias("list"), "a", "b", "n", "med")
+    return end("top", F.desc("med")).unionByName(end("bottom", F.asc("med")))
+
+
+@query(f"WITH {MOV}, c AS (SELECT typecode, gc_km, 1 - share AS coverage, real / gc_km - 2 AS cruise_ff FROM mov) SELECT typecode, count(*) AS n, round(median(round(cruise_ff, 4)), 6) AS observed FROM c WHERE coverage >= 0.96 AND gc_km >= 150 AND cruise_ff > 0 GROUP BY 1")
+def q_calibration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow that calibrates each type, from movements that may."""
+    rows = movements(spark, sf_dir).withColumns({"coverage": 1 - F.col("share"), "cruise_ff": F.col("real") / F.col("gc_km") - 2})
+    return flights.for_calibration(rows, 0.96).groupBy("typecode").agg(F.count(F.lit(1)).alias("n"), F.round(norm.median(F.col("cruise_ff")), 6).alias("observed"))
+
+
+@query("""SELECT user_id AS aircraft, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(json_extract_string(props, '$.none')) AS absent FROM events GROUP BY 1""")
+def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a document in a column, and one that isn't there."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("aircraft")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("k"), F.count(F.get_json_object("props", "$.none")).alias("absent"))

@@ -214,3 +214,11 @@ def q_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.abs(F.round(F.col("alt") / 80 - 50, 4)) + 0.5) * F.signum(F.col("alt") / 80 - 50)
     x = F.when(F.abs(F.col("alt") / 80 - 50) < 0.5, F.lit(0.0)).otherwise(half)
     return traces(spark, sf_dir).select("event_id", text.iso_utc(F.col("t")).alias("iso"), text.signed(x).alias("signed"), F.round(text.clipped(F.col("alt"), 1000.0, 3000.0), 4).alias("clipped"), text.month_of(day).alias("month"), text.season_of(day, "2024-01-15").alias("season"))
+
+
+@query("""WITH h AS (SELECT p_partkey, p_size * 700.0::DOUBLE AS alt, CASE WHEN p_size % 4 <> 0 THEN p_size * 7.0::DOUBLE END AS ias, 400.0::DOUBLE + p_size AS gs FROM part), s AS (SELECT *, greatest(288.15::DOUBLE - 0.0065::DOUBLE * alt * 0.3048::DOUBLE, 216.65::DOUBLE) AS t, CASE WHEN alt * 0.3048::DOUBLE < 11000 THEN 101325.0::DOUBLE * pow(1 - 0.0065::DOUBLE * alt * 0.3048::DOUBLE / 288.15::DOUBLE, 9.80665::DOUBLE / (287.05287::DOUBLE * 0.0065::DOUBLE)) ELSE 22632.06::DOUBLE * exp(-9.80665::DOUBLE * (alt * 0.3048::DOUBLE - 11000) / (287.05287::DOUBLE * 216.65::DOUBLE)) END AS p FROM h)
+SELECT p_partkey, round(CASE WHEN ias > 40 THEN sqrt(7.0::DOUBLE * 287.05287::DOUBLE * t * (pow(1 + 101325.0::DOUBLE * (pow(1 + 1.225::DOUBLE / (7 * 101325.0::DOUBLE) * pow(ias * 0.514444::DOUBLE, 2), 3.5::DOUBLE) - 1) / p, 2 / 7.0::DOUBLE) - 1)) / 0.514444::DOUBLE ELSE gs END, 4) AS tas FROM s""")
+def q_airspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best airspeed that a report allows: the indicated one made true, or the ground's."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(isa.best_tas_kt(F.when(size % 4 != 0, size * 7.0), 400.0 + size, size * 700.0), 4).alias("tas"))

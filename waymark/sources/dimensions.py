@@ -35,9 +35,9 @@ def factors(spark: SparkSession, path: str) -> DataFrame:
 def consumption(spark: SparkSession, path: str) -> DataFrame:
     """typecode and table (distance to kg) from JSON of types, each with points of distance and kg, alone or under "types"."""
     text = spark.read.option("wholetext", True).text(path).select("value")
-    kind = "map<string,struct<points:map<int,double>>>"
+    kind = "map<string,struct<points:map<string,double>>>"
     inner = F.from_json(F.get_json_object("value", "$.types"), kind)
-    return text.select(F.explode(F.coalesce(inner, F.from_json("value", kind))).alias("typecode", "x")).select("typecode", F.col("x.points").alias("table")).where("table is not null")
+    return text.select(F.explode(F.coalesce(inner, F.from_json("value", kind))).alias("typecode", "x")).select("typecode", F.transform_keys("x.points", lambda k, _: k.cast("int")).alias("table")).where("table is not null")
 
 
 def grid(spark: SparkSession, paths: list[str]) -> DataFrame:
