@@ -3,15 +3,16 @@
 import pytest
 
 from tests.parity import compare
-from waymark.plans import movement_queries, other_queries
+from waymark.plans import cohort_queries, flight_queries, movement_queries, other_queries
 
-ALL = movement_queries.SQL | other_queries.SQL
+PARTS = (movement_queries, other_queries, flight_queries, cohort_queries)
+ALL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_parity(spark, name):
-    query = (movement_queries.QUERIES | other_queries.QUERIES)[name]
-    assert compare(spark, name, query, ALL[name], "/root/testdata/sf0.001") is None
+    assert compare(spark, name, QUERIES[name], ALL[name], "/root/testdata/sf0.001") is None
 
 
 def test_entry(spark):

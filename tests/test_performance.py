@@ -7,6 +7,7 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import performance as perf
 from waymark.operators import track
@@ -48,7 +49,9 @@ def test_trace_to_split(raw, spark):
     full = clean.selectExpr("aircraft", "leg", "t", "lat", "lon", "alt", "440.0d as gs", "cast(null as double) as ias", "'A320' as typecode")
     r = perf.decomposed(full, ["aircraft", "leg"], {"A320": perf.PerfModel()}).head()
     assert abs(r["lateral"] + r["vertical"] - r["total"]) < 1e-9 and abs(r["lateral"]) < 0.5
-    assert abs(r["vert_alt"] + r["vert_speed"] + r["vert_rest"] - r["vertical"]) < 1e-9
+    assert r["vert_alt"] is not None and r["vert_speed"] is None and r["vert_rest"] is None  # no airspeed was reported
+    fast = perf.decomposed(full.withColumn("ias", F.lit(260.0)), ["aircraft", "leg"], {"A320": perf.PerfModel()}).head()
+    assert abs(fast["vert_alt"] + fast["vert_speed"] + fast["vert_rest"] - fast["vertical"]) < 1e-9
     assert perf.decomposed(full, ["aircraft", "leg"], {"B77W": perf.PerfModel()}).count() == 0
 
 
