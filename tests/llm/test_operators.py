@@ -135,6 +135,13 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     assert [got[i]["n_links"] for i in range(len(texts))] == want and max(want) > 20
 
 
+def test_jaccard_against_sql(spark):
+    from tests.parity import compare
+    from waymark.llm import queries
+
+    assert compare(spark, "op4_token_groups", queries.op4_token_groups, queries.OP4, "/root/testdata/sf0.01") is None
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 90)], "a long, b long")
     got = {r["node"]: r["label"] for r in graph.components(links).collect()}
