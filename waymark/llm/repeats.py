@@ -28,7 +28,7 @@ from waymark.llm import common
 LENGTH, K, SEGMENT, POOL = 200, 100, 1 << 20, 1_000_000
 W = LENGTH - K + 1
 #: Pieces of an anchor that are compared two by two, at most; pieces beyond which an anchor's strings are counted by hash; bytes of a run; parts of a join.
-PAIRS, HOT, RUN, SALT = 6, 20_000, 8_000_000, 32
+PAIRS, HOT, RUN, SALT = 40, 20_000, 8_000_000, 32
 #: Offsets (anchor's place less string's start) in ranges, first and last + 1.
 RANGES = tuple((first, min(first + 5, W) if first < W - 6 else W) for first in range(0, W - 1, 5))
 _BASE = 0x9E3779B97F4A7C15
