@@ -5,7 +5,8 @@ beyond MOST times its source's size (the excess goes to the others by weight). T
 to one copy each, under the constraint that each source's expected tokens meet its target and that no rate exceeds MOST: the dual is
 convex, with one multiplier a source, and a document's rate is min(MOST, exp(multiplier * size / mean size of its source)). Newton
 steps on the logarithm of the dual's gradient, kept inside a shrinking bracket, find the multipliers; each step is one aggregation
-over the (source, size) histogram, which is exact as rates depend on nothing else. Multipliers stay in a table in shared storage.
+over the (source, size) histogram, which is exact as rates depend on nothing else. Multipliers stay in a table in shared storage, one row
+a source; targets() puts that table in order in one task, so sources are meant to be collections (up to millions), not documents.
 
 Rates become whole copies by running sums: within a source, in the order of size (largest first), each document gets the whole
 numbers that the running sum of rates passes, so the error in tokens is about one gap between neighbouring sizes. The running sum
