@@ -127,13 +127,13 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         finally:
             shards.close()
 
-    return common.settled(df.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, digest string, folder string, shard string, offset long, length long"), "media-index")
+    return common.settled(common.bounded(df).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, digest string, folder string, shard string, offset long, length long"), "media-index")
 
 
 def _read(index: DataFrame, id_col: str, keep: list[str], names: list[str], schema: str, look) -> DataFrame:
     """For each row keep and look(read), where read(n) gives the first n bytes of its member; rows of a shard are read by one task."""
     tasks = max(1, min(20_000, index.select("shard").distinct().count()))
-    df = index.select(id_col, *keep, *(c for c in ("folder", "shard", "offset", "length") if c not in keep)).repartition(tasks, "shard").sortWithinPartitions("shard", "offset")
+    df = index.select(F.col(f"`{id_col}`"), *keep, *(c for c in ("folder", "shard", "offset", "length") if c not in keep)).repartition(tasks, "shard").sortWithinPartitions("shard", "offset")
 
     def run(batches):
         name, file, last, found = None, None, None, None
@@ -154,7 +154,7 @@ def _read(index: DataFrame, id_col: str, keep: list[str], names: list[str], sche
             file.close()
 
     kinds = ", ".join(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return df.mapInArrow(run, f"{kinds}, {schema}")
+    return common.bounded(df).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def headers(index: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ("digest",)) -> DataFrame:
