@@ -574,3 +574,33 @@ def test_pipeline_over_nothing(spark, tmp_path):
 
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_jaccard_moves_a_family_once(spark, monkeypatch):
+    """Near copies have many least shingles, and so many groups: put together, none asks another group, and each class's set is in one block."""
+    texts = [" ".join([*BASE.split()[:k], f"new{k}", *BASE.split()[k + 1 :]]) for k in range(2, 110, 2)]
+    moved, plain = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda asked, *rest: moved.append((asked.count(), plain(asked, *rest).count())) or plain(asked, *rest))
+    got = rows(jaccard.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {r["component_id"] for r in got.values()} == {0} and moved == [(0, len(texts))]
+
+
+def test_jaccard_sieve_keeps_every_wanted_text(spark, monkeypatch):
+    for bits in (26, 12):  # a full filter lets more through, but loses none
+        monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+        keys = spark.range(3000).selectExpr("xxhash64(id) AS key")
+        held = jaccard.sieve(keys.where("key % 3 = 0"), "key")
+        got = {r["key"] for r in jaccard._sifted(keys, "key", held).collect()}
+        want = {r["key"] for r in keys.where("key % 3 = 0").collect()}
+        assert want <= got and len(held) <= 1 << bits - 3 and (bits == 12 or len(got) < 1.1 * len(want))
+
+
+def test_settled_leaves_no_shuffle_behind(spark, tmp_path):
+    import glob
+
+    from waymark.llm import common
+
+    files = lambda: set(glob.glob(f"{spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]}/**/shuffle_*.data", recursive=True))
+    before = files()
+    out = common.settled(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert files() <= before and out.count() == 100 and spark.conf.get(common.CLEANUP, None) in (None, "false")
