@@ -604,3 +604,31 @@ def test_settled_leaves_no_shuffle_behind(spark, tmp_path):
     before = files()
     out = common.settled(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
     assert files() <= before and out.count() == 100 and spark.conf.get(common.CLEANUP, None) in (None, "false")
+
+
+def test_maxent_brings_little_to_the_driver(spark, monkeypatch):
+    """No collect brings the weights at once, nor the commonest tokens of every partition; more than VOCAB tokens with ties keep their order."""
+    import zlib
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    brought, plain = [], DataFrame.collect
+
+    def collect(self):
+        out = plain(self)
+        brought.append((sum(len(x) for r in out for x in r if isinstance(x, bytes | bytearray)), "TakeOrdered" in self._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    models, train = [], maxent.trained
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    monkeypatch.setattr(maxent, "VOCAB", 20)
+    monkeypatch.setattr(maxent, "trained", lambda chunks, model, *rest: models.append(model) or train(chunks, model, *rest))
+    texts = [f"w{i % 40} w{i % 40 + 1} common" for i in range(400)]
+    maxent.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).count()
+    assert all(size < 1 << 20 and not ordered for size, ordered in brought) and any(w.any() for w in models[0].weights)
+    hashes, count = maxent.Tokens(), Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update(hashes(t).view("int64").tolist())
+    want = [h % 2**64 for h, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    assert models[0].hashes.tolist() == sorted(want) and sorted(models[0].leaves.tolist()) == list(range(1, 21))

@@ -37,6 +37,8 @@ WAYS, VOCAB, ROWS = 16, 65_535, (1 << 17, 1 << 16, 1 << 18)
 EPOCHS, RATE, START, BATCH = 1, 1.0, 0.5, 1 << 14
 #: Tokens of a chunk; rows of a slice of the weights; training tasks a core.
 CHUNK, SLICE, TASKS = 1 << 19, 1 << 14, 2
+#: Rows of weights in a row that the driver reads.
+SENT = 1 << 12
 MEMO = 600_000
 END = b"\n"
 _ODD, _K1, _K2, _K3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
@@ -298,16 +300,20 @@ def trained(chunks: DataFrame, model: Model, epochs: int = EPOCHS, rate: float =
                     new = [times, np.frombuffer(x, np.float16).reshape(-1, WAYS) * times[:, None]]
                     sums[k] = [a + b for a, b in zip(sums[k], new, strict=True)] if k in sums else new
             for k, (m, x) in sums.items():
-                mean = (x / np.maximum(m, 1)[:, None]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([mean.tobytes()], pa.binary())], ["slice", "mean"])
+                mean = (x / np.maximum(m, 1)[:, None]).astype(np.float16)
+                for i in range(0, len(mean), SENT):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i]), pa.array([mean[i : i + SENT].tobytes()], pa.binary())], ["slice", "start", "mean"])
 
         few = common.bounded(chunks.select("train", "lens", "hashes", "codes").coalesce(TASKS * spark.sparkContext.defaultParallelism))
         changes = few.mapInArrow(run, "slice long, met binary, change binary").repartition(len(slices), "slice")
-        base = model.packed().unpacked().weights
-        for r in changes.mapInArrow(add, "slice long, mean binary").collect():
-            j, a = slices[r["slice"]]
-            model.weights[j][a : a + SLICE] = base[j][a : a + SLICE] + np.frombuffer(bytes(r["mean"]), np.float32).reshape(-1, WAYS)
+        means = common.settled(changes.mapInArrow(add, "slice long, start long, mean binary"), "means")
         sent.destroy()
+        model.weights = model.packed().unpacked().weights
+        for r in means.toLocalIterator():  # a file or a few at a time pass through the driver, in half precision as they go out again
+            j, a = slices[r["slice"]]
+            change = np.frombuffer(r["mean"], np.float16).reshape(-1, WAYS)
+            model.weights[j][a + r["start"] : a + r["start"] + len(change)] += change
+        common.dropped(spark, means)
     return model
 
 
@@ -315,8 +321,11 @@ def fitted(chunks: DataFrame, epochs: int = EPOCHS) -> tuple[DataFrame, Model]:
     """The counts (h, c; settled) of the training texts of chunks, and the trained model."""
     counts = common.settled(counted(chunks), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    top = counts.orderBy(F.desc("c"), "h").limit(VOCAB).collect()
-    return counts, trained(chunks, Model([(r["h"], r["c"]) for r in top], total["n"] or 0, total["v"]), epochs)
+    # Settled first: a limit that is collected brings VOCAB rows of every partition to the driver.
+    top = common.settled(counts.orderBy(F.desc("c"), "h").limit(VOCAB), "vocabulary").toArrow()
+    h, c = (top.column(x).to_numpy() for x in ("h", "c"))
+    order = np.lexsort((h, -c))
+    return counts, trained(chunks, Model(list(zip(h[order].tolist(), c[order].tolist(), strict=True)), total["n"] or 0, total["v"]), epochs)
 
 
 def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -345,6 +354,7 @@ def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "do
                 )
 
     rows = common.settled(common.bounded(chunks.drop("counts")).mapInArrow(look, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, score binary, base binary, known binary, rare array<long>, text binary, place binary"), "scored", 8)
+    sent.destroy()
     each = rows.select("chunk", F.posexplode("rare").alias("place", "h"))
     met = each.join(counts, "h").groupBy("chunk").agg(F.collect_list("place").alias("at"), F.collect_list("c").alias("c"))
     both = rows.select("*", F.size("rare").alias("n_rare")).drop("rare").join(met, "chunk", "left")
