@@ -328,6 +328,14 @@ def fitted(chunks: DataFrame, epochs: int = EPOCHS) -> tuple[DataFrame, Model]:
     return counts, trained(chunks, Model(list(zip(h[order].tolist(), c[order].tolist(), strict=True)), total["n"] or 0, total["v"]), epochs)
 
 
+def _met(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows without rare, but n_rare (its length), and at and c: places in rare that training texts have, and how often. Both joins are merges: Spark
+    takes exploded rows for as small as the file, and the counts of a chunk for a few bytes, and would send them through the driver."""
+    each = rows.select("chunk", F.posexplode("rare").alias("place", "h"))
+    met = each.hint("merge").join(counts, "h").groupBy("chunk").agg(F.collect_list("place").alias("at"), F.collect_list("c").alias("c"))
+    return rows.select("*", F.size("rare").alias("n_rare")).drop("rare").join(met.hint("merge"), "chunk", "left")
+
+
 def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id_col, train, n_tokens, n_known, train_tokens, base_score and score of each text of chunks."""
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
@@ -355,9 +363,7 @@ def scored(chunks: DataFrame, counts: DataFrame, model: Model, id_col: str = "do
 
     rows = common.settled(common.bounded(chunks.drop("counts")).mapInArrow(look, f"chunk long, ids array<{kind}>, train array<boolean>, lens binary, score binary, base binary, known binary, rare array<long>, text binary, place binary"), "scored", 8)
     sent.destroy()
-    each = rows.select("chunk", F.posexplode("rare").alias("place", "h"))
-    met = each.join(counts, "h").groupBy("chunk").agg(F.collect_list("place").alias("at"), F.collect_list("c").alias("c"))
-    both = rows.select("*", F.size("rare").alias("n_rare")).drop("rare").join(met, "chunk", "left")
+    both = _met(rows, counts)
 
     def sum_up(batches):
         for batch in batches:
