@@ -14,35 +14,44 @@ def median(x: Column) -> Column:
 
 
 def medians(cells: DataFrame, keys: list[str], metrics: list[str], prefix: str) -> DataFrame:
-    """keys and the median of each metric, from a histogram: cells (keys, m: the metric's place, v: its value, n: how often it stands).
+    """keys, {prefix}_n (rows, null values as well) and the median of each metric, from a histogram: cells (keys, m: the metric's place, v: its value,
+    n: how often it stands; a value may have several rows).
 
     The middle values are those at which the running count passes half; values of one metric and key run in order through a window
     over distinct values, so a key with many rows is as many rows as it has values, whatever the rows."""
     order = Window.partitionBy(*keys, "m").orderBy("v")
-    run = cells.withColumns({"__to": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("n").over(Window.partitionBy(*keys, "m"))})
+    known = cells.withColumn("__n", F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0))
+    run = known.withColumns({"__to": F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(Window.partitionBy(*keys, "m"))})
     a, b = F.floor((F.col("__all") + 1) / 2), F.floor((F.col("__all") + 2) / 2)
-    holds = lambda at: (F.col("__to") >= at) & (F.col("__to") - F.col("n") < at)
+    holds = lambda at: (F.col("__to") >= at) & (F.col("__to") - F.col("__n") < at)
     pick = lambda i, at: F.max(F.when((F.col("m") == i) & holds(at), F.col("v")))
-    return run.groupBy(*keys).agg(*((pick(i, a) / 2 + pick(i, b) / 2).alias(f"{prefix}_{m}") for i, m in enumerate(metrics)))
+    return run.groupBy(*keys).agg(F.sum(F.when(F.col("m") == 0, F.col("n"))).alias(f"{prefix}_n"), *((pick(i, a) / 2 + pick(i, b) / 2).alias(f"{prefix}_{m}") for i, m in enumerate(metrics)))
+
+
+def counted_medians(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """keys, n and the median of value (to 4 places) of each group: by its histogram, so that no task holds a group's values."""
+    cells = rows.groupBy(*keys, F.round(value, 4).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.lit(0))
+    return medians(cells, keys, [out], "mid").select(*keys, F.col("mid_n").alias("n"), F.col(f"mid_{out}").alias(out))
 
 
 def deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int, bins: Column | None = None) -> DataFrame:
     """rows with, for each output name of metrics, a metric's deviation from the median of its (bin, type) cell, or of its bin where
     the cell has fewer than cell_min rows.
 
-    One histogram of the cells (values to 4 places, counted with partial sums) gives both levels' medians, so that rows are read twice, once for
-    the norms and once to join them, and no task sorts or holds a bin's rows."""
+    One histogram of the cells (values to 4 places, counted with partial sums) gives both levels' medians in one pass (each of its rows stands for its
+    cell and for its bin), so that rows are read twice, once for the norms and once to join them, and no task sorts or holds a bin's rows. The norms,
+    a row for each bin and type, are broadcast: rows are not dealt out by these few keys."""
     rows = rows.withColumn("bin", geo.right_closed(F.col("gc_km")) if bins is None else bins)
     names = list(metrics.values())
     values = F.array(*(F.struct(F.lit(i).alias("m"), F.round(F.col(m), 4).alias("v")) for i, m in enumerate(names)))
     cells = rows.select("bin", "typecode", F.explode(values).alias("x")).groupBy("bin", "typecode", "x.m", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.where("m = 0").groupBy("bin", "typecode").agg(F.sum("n").alias("n_cell"))
-    known = cells.where("v is not null")
-    own = medians(known, ["bin", "typecode"], names, "cell")
-    whole = medians(known.groupBy("bin", "m", "v").agg(F.sum("n").alias("n")), ["bin"], names, "bin")
-    norms = sizes.join(own, ["bin", "typecode"], "left").join(whole, "bin", "left")
+    levels = F.array(F.struct(F.lit(True).alias("own"), F.col("typecode")), F.struct(F.lit(False).alias("own"), F.lit(None).cast(cells.schema["typecode"].dataType).alias("typecode")))
+    both = cells.select("bin", "m", "v", "n", F.explode(levels).alias("e")).select("bin", "e.own", "e.typecode", "m", "v", "n")
+    mids = medians(both, ["own", "bin", "typecode"], names, "cell")
+    whole = lambda m: F.max(F.when(~F.col("own"), F.col(f"cell_{m}"))).over(Window.partitionBy("bin"))
+    norms = mids.withColumns({f"bin_{m}": whole(m) for m in names}).where("own").withColumnRenamed("cell_n", "n_cell")
     pick = lambda m: F.when(F.col("n_cell") >= cell_min, F.col(f"cell_{m}")).otherwise(F.col(f"bin_{m}")).alias(f"norm_{m}")
-    joined = rows.join(norms.select("bin", "typecode", "n_cell", *map(pick, names)), ["bin", "typecode"])
+    joined = rows.join(F.broadcast(norms.select("bin", "typecode", "n_cell", *map(pick, names))), ["bin", "typecode"])
     return joined.withColumns({out: F.col(m) - F.col(f"norm_{m}") for out, m in metrics.items()}).drop(*(f"norm_{m}" for m in names))
 
 
@@ -67,7 +76,7 @@ def double_entry(rows: DataFrame, *keep: str) -> DataFrame:
 def airport_table(rows: DataFrame, floor: int, cell_min: int) -> DataFrame:
     """airport, n, d_total: the median deviation of places with at least floor movements (both roles), and its rank."""
     placed = double_entry(deviations(rows, {"d": "total"}, cell_min), "d")
-    out = placed.groupBy("airport").agg(F.count(F.lit(1)).alias("n"), F.round(median(F.col("d")), 5).alias("d_total")).where(F.col("n") >= floor)
+    out = counted_medians(placed, ["airport"], "d", "d_total").where(F.col("n") >= floor).withColumn("d_total", F.round("d_total", 5))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("d_total"), "airport")))
 
 
