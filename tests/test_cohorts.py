@@ -21,7 +21,7 @@ def _scans(df):
     return plan.count("l_orderkey#") and sum("Relation [" in line and "l_orderkey#" in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name, most", [("q_norm_airport", 2), ("q_export", 3)])
+@pytest.mark.parametrize("name, most", [("q_norm_airport", 2), ("q_export", 3), ("q_phase_attrib", 2)])
 def test_items_are_read_for_the_norms_and_once_more(spark, name, most):
     df = (movement_queries.QUERIES | cohort_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
     assert 0 < _scans(df) <= most

@@ -56,14 +56,17 @@ def deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int, bins: Co
 
 
 def mean_deviations(rows: DataFrame, metrics: dict[str, str], cell_min: int) -> DataFrame:
-    """As deviations(), by means: a cell counts all its rows towards cell_min, but means take only rows complete in all metrics; incomplete rows get null."""
+    """As deviations(), by means: a cell counts all its rows towards cell_min, but means take only rows complete in all metrics; incomplete rows get null.
+    Cells' sums give both levels' means, so rows are read twice; the means, a row for each bin and type, are broadcast."""
     rows = rows.withColumn("bin", geo.right_closed(F.col("gc_km")))
     whole = F.lit(True)
     for m in metrics.values():
         whole = whole & F.col(m).isNotNull()
-    cells = rows.groupBy("bin", "typecode").agg(F.count(F.lit(1)).alias("n_cell"), *(F.avg(F.when(whole, F.col(m))).alias(f"cell_{m}") for m in metrics.values()))
-    bins = rows.groupBy("bin").agg(*(F.avg(F.when(whole, F.col(m))).alias(f"bin_{m}") for m in metrics.values()))
-    joined = rows.join(cells, ["bin", "typecode"]).join(bins, "bin")
+    sums = rows.groupBy("bin", "typecode").agg(F.count(F.lit(1)).alias("n_cell"), F.count(F.when(whole, 1)).alias("__k"), *(F.sum(F.when(whole, F.col(m))).alias(f"__{m}") for m in metrics.values()))
+    of_bin = lambda c: F.sum(c).over(Window.partitionBy("bin"))
+    means = {f"cell_{m}": F.col(f"__{m}") / F.nullif(F.col("__k"), F.lit(0)) for m in metrics.values()} | {f"bin_{m}": of_bin(f"__{m}") / F.nullif(of_bin("__k"), F.lit(0)) for m in metrics.values()}
+    cells = sums.withColumns(means).drop("__k", *(f"__{m}" for m in metrics.values()))
+    joined = rows.join(F.broadcast(cells), ["bin", "typecode"])
     return joined.withColumns({out: F.when(whole, F.col(m) - F.when(F.col("n_cell") >= cell_min, F.col(f"cell_{m}")).otherwise(F.col(f"bin_{m}"))) for out, m in metrics.items()})
 
 
