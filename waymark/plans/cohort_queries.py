@@ -364,9 +364,7 @@ def q_dir_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a year would save if no movement were above its norm, and if the worst quarter were not."""
     dev = norm.deviations(movements(spark, sf_dir), {"d": "total"}, 1000)
-    q = dev.agg(F.percentile(F.round("d", 4), 0.75).alias("q"))  # one row
-    saved = F.greatest(F.col("d"), F.lit(0.0)) / 100 * F.col("ideal")
-    out = dev.join(F.broadcast(q), F.lit(True)).agg(F.count_distinct("day").alias("days"), F.sum(saved).alias("a"), F.sum(F.when(F.round("d", 4) >= F.col("q"), saved).otherwise(0.0)).alias("w"))
+    out = cohort.worst_quarter(dev, "d", F.greatest(F.col("d"), F.lit(0.0)) / 100 * F.col("ideal"))
     return out.select("days", *(F.round(F.col(c) * 365 / F.col("days") / 1e6, 6).alias(n) for c, n in (("a", "all_m"), ("w", "worst_m"))))
 
 
