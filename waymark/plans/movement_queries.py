@@ -99,9 +99,9 @@ def q_ground_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_role_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median deviation of each place by role, where both roles together reach the floor."""
     placed = norm.double_entry(norm.deviations(movements(spark, sf_dir), {"d": "total"}, CELL), "d")
-    counts = placed.groupBy("airport").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FLOOR)
-    wide = placed.groupBy("airport").pivot("role", ["dep", "arr"]).agg(F.round(norm.median(F.col("d")), 5))
-    return wide.join(counts, "airport")
+    mids = norm.counted_medians(placed, ["airport", "role"], "d", "mid")
+    of = lambda role: F.round(F.max(F.when(F.col("role") == role, F.col("mid"))), 5).alias(role)
+    return mids.groupBy("airport").agg(of("dep"), of("arr"), F.sum("n").alias("n")).where(F.col("n") >= FLOOR)
 
 
 @query(f"""WITH {MOV}, r AS (SELECT a, b, median(round(total, 4)) FILTER (WHERE origin = a) AS go, median(round(total, 4)) FILTER (WHERE origin <> a) AS back, count(*) AS n FROM mov WHERE a <> b GROUP BY a, b)
