@@ -21,7 +21,7 @@ def _scans(df):
     return plan.count("l_orderkey#") and sum("Relation [" in line and "l_orderkey#" in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name, most", [("q_norm_airport", 2), ("q_export", 3), ("q_phase_attrib", 2)])
+@pytest.mark.parametrize("name, most", [("q_norm_airport", 2), ("q_month_rank", 2), ("q_annual", 2), ("q_role_pivot", 2), ("q_phase_attrib", 2), ("q_export", 3)])
 def test_items_are_read_for_the_norms_and_once_more(spark, name, most):
     df = (movement_queries.QUERIES | cohort_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
     assert 0 < _scans(df) <= most
@@ -31,3 +31,10 @@ def test_medians_count_null_values_but_leave_them_out(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", None), (None, 2.0)], "k string, v double")
     got = {r["k"]: (r["n"], r["mid"]) for r in norm.counted_medians(rows, ["k"], "v", "mid").collect()}
     assert got == {"a": (3, 2.0), "b": (1, None), None: (1, 2.0)}
+
+
+def test_worst_quarter(spark):
+    rows = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("y", 3.0), (None, 4.0), ("z", None)], "day string, d double")
+    r = cohort.worst_quarter(rows, "d", F.coalesce("d", F.lit(0.0))).head()
+    assert (r["days"], r["a"], r["w"]) == (3, 10.0, 4.0)  # the quartile is 3.25
+    assert cohort.worst_quarter(rows.where("d > 9"), "d", F.col("d")).head()["days"] == 0

@@ -118,7 +118,7 @@ SELECT year, airport, n, d, row_number() OVER (PARTITION BY year ORDER BY d DESC
 def q_month_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places ranked within each period (a year here, so that the floor of 300 is met)."""
     placed = norm.double_entry(norm.deviations(movements(spark, sf_dir), {"d": "total"}, CELL), "d", "month")
-    out = placed.groupBy(F.substring("month", 1, 4).alias("year"), "airport").agg(F.count(F.lit(1)).alias("n"), F.round(norm.median(F.col("d")), 5).alias("d")).where("n >= 300")
+    out = norm.counted_medians(placed.withColumn("year", F.substring("month", 1, 4)), ["year", "airport"], "d", "d").where("n >= 300").withColumn("d", F.round("d", 5))
     year = Window.partitionBy("year")
     return out.withColumns({"rank": F.row_number().over(year.orderBy(F.desc("d"), "airport")), "behind": F.round(F.max("d").over(year) - F.col("d"), 5)})
 
